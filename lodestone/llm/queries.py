@@ -14,7 +14,23 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.quality_report(docs).select("doc_id", *q.COUNTS, "base_failed", "kept")
 
 
-QUERIES = {"op8_quality_rules": op8_quality_rules}
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import packing
+
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import secrets
+
+    return secrets.report(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+QUERIES = {
+    "op3_packing": op3_packing,
+    "op4_secret_scan": op4_secret_scan,
+    "op8_quality_rules": op8_quality_rules,
+}
 
 ORACLES: dict[str, str] = {}
 
