@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.llm.common import documents
 
@@ -14,6 +15,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.quality_report(docs).select("doc_id", *q.COUNTS, "base_failed", "kept")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import simhash
+
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    # The bits are stored as a signed long; hex() shows them unsigned.
+    fingerprint = F.lpad(F.lower(F.hex("fp")), 16, "0")
+    return found.select("doc_id", fingerprint.alias("fingerprint"), "component_id")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import packing
 
@@ -27,6 +37,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op3_packing": op3_packing,
     "op4_secret_scan": op4_secret_scan,
     "op8_quality_rules": op8_quality_rules,
