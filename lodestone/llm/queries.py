@@ -36,11 +36,18 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import token_files
+
+    return token_files.digest(token_files.write_tokens(documents(spark, sf_dir)))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_packing": op3_packing,
     "op4_secret_scan": op4_secret_scan,
     "op8_quality_rules": op8_quality_rules,
+    "op9_token_files": op9_token_files,
 }
 
 ORACLES: dict[str, str] = {}
