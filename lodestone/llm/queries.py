@@ -24,6 +24,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fingerprint.alias("fingerprint"), "component_id")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import quality_classifier
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_classifier.quality_report(documents(spark, sf_dir), labels)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import packing
 
@@ -44,6 +51,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_packing": op3_packing,
     "op4_secret_scan": op4_secret_scan,
     "op8_quality_rules": op8_quality_rules,
