@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import documents
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import embedding_dedup
+
+    return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import pieces
+
+    return pieces.digest(documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import quality_rules as q
 
@@ -54,6 +66,8 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_packing": op3_packing,
     "op4_secret_scan": op4_secret_scan,
+    "op6_embedding_dedup": op6_embedding_dedup,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_files": op9_token_files,
 }
