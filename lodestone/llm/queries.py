@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import documents
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import lm
+
+    return lm.score(documents(spark, sf_dir))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import embedding_dedup
 
@@ -66,6 +72,7 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_packing": op3_packing,
     "op4_secret_scan": op4_secret_scan,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_quality_rules": op8_quality_rules,
