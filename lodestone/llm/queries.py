@@ -67,6 +67,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(token_files.write_tokens(documents(spark, sf_dir)))
 
 
+def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import quotes
+
+    return quotes.format_chat(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_quality_classifier": op2_quality_classifier,
@@ -77,6 +83,7 @@ QUERIES = {
     "op7_sentencepiece": op7_sentencepiece,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_files": op9_token_files,
+    "op10_quotation_linking": op10_quotation_linking,
 }
 
 ORACLES: dict[str, str] = {}
