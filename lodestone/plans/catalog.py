@@ -1,4 +1,6 @@
-"""The registered queries and their SQL counterparts."""
+"""All registered queries and their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from lodestone.plans import corpus  # noqa: F401  registers its queries
+from lodestone.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
