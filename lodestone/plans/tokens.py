@@ -164,11 +164,10 @@ def st2_frame_windows(spark, d):
 
 @query()
 def st3_in_order(spark, d):
-    rows = code_arrays(spark, d).select((F.col("id") % 8).alias("request"), F.floor(F.col("id") / 8).cast("int").alias("idx"), F.size("c").alias("n"))
-    rows = rows.where("idx < 800")
-    arrival = F.pmod(F.col("idx") * 37, F.lit(801))  # any order of arrival
-    rows = rows.withColumn("arrival", arrival).withColumn("row", F.array("idx", "n"))
-    return replay(rows, "request", ["arrival", "idx"], "row", lambda: InOrder(1024), "request long, idx int, n int")
+    """Rows of a request that arrive in any order, given in theirs."""
+    rows = spark.range(8 * 801).select(F.pmod("id", F.lit(8)).alias("request"), F.floor(F.col("id") / 8).cast("int").alias("idx"))
+    rows = rows.withColumn("arrival", F.pmod(F.col("idx") * 37, F.lit(801))).withColumn("row", F.array("idx", (F.col("request") + F.col("idx")).cast("int")))
+    return replay(rows, "request", ["arrival"], "row", lambda: InOrder(1024), "request long, idx int, n int")
 
 
 @query()
