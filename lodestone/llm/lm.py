@@ -97,7 +97,7 @@ class Model:
         self.words, self.counts, self.total, self.distinct = words, counts, total, distinct
         self.classes = min(CLASSES, len(words))  # then the rest class, then the start
         rest = total - int(counts[: self.classes].sum())
-        self.log_rest = np.log10(rest + distinct - self.classes + 1)
+        self.log_rest = np.log10(max(rest + distinct - self.classes, 0) + 1)
         share = np.append(counts[: self.classes], max(rest, 1)).astype("f8") + 1
         self.noise = share / share.sum()
         rng, n = np.random.default_rng(42), self.classes + 2

@@ -92,6 +92,8 @@ def entropy(literal: str) -> float:
 
 def name_score(name: str) -> int:
     words = [w.lower() for w in _SUBWORD.findall(name)]
+    if words and words[-1] in HARMLESS:  # about a secret, but none: a path, a length, a hint
+        return 0
     if "key" in words and {"api", "access", "private", "secret", "signing", "encryption"} & set(words):
         words.append("secret")
     return sum(SENSITIVE.get(w, 0) + HARMLESS.get(w, 0) for w in words)
