@@ -220,3 +220,24 @@ def pf18_allowed_languages(spark, d):
     parts = F.array_distinct(F.flatten(F.transform(asked, lambda x: F.coalesce(named[x], F.array(x)))))
     out = table(spark, d, "documents").select(F.col("lang").alias("l"), parts.alias("p")).distinct()
     return out.select("l", F.forall("p", lambda x: F.array_contains(named["all"], x)).alias("ok"))
+
+
+def _stand_in():
+    """A model's stand-in: the text's length; it refuses every fifth length."""
+
+    def run(texts):
+        if any(len(t) % 5 == 0 for t in texts):
+            raise ValueError("refused")
+        return [len(t) for t in texts]
+
+    return run
+
+
+@query("SELECT doc_id, CASE WHEN length(text) % 5 <> 0 THEN length(text) END AS value, CASE WHEN length(text) % 5 = 0 THEN 'ValueError: refused' END AS error FROM documents")
+def pf15_isolated_errors(spark, d):
+    """Rows that a model fails on become error rows; the others keep their values."""
+    from lodestone.operators import models
+
+    out = table(spark, d, "documents").select("doc_id", models.applied(_stand_in, F.col("text"), "bigint").alias("r"))
+    good, bad = models.split_errors(out, "r")
+    return good.unionByName(bad).select("doc_id", "r.value", "r.error")

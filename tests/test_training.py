@@ -73,3 +73,10 @@ def test_pooled_scores_differ_from_macro_ones(spark):
     by = {r["direction"]: r["bleu"] for r in out.collect()}
     assert by["a"] == pytest.approx(100) and by["b"] < 100
     assert C.macro(out).first()["bleu"] == pytest.approx((by["a"] + by["b"]) / 2)
+
+
+def test_stable_seed():
+    from lodestone.operators.render import stable_seed
+
+    assert stable_seed("a", 1) == stable_seed("a", 1) != stable_seed("a1")
+    assert 0 <= stable_seed("x") < 1 << 64
