@@ -6,18 +6,15 @@ batch of inputs to outputs can be plugged in.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def applied(load: Callable[[], Callable[[list], list]], value: Column, kind: str = "string") -> Column:
     """struct(value, error) of a batch model; a batch that fails is run row by row, so only bad rows carry an error."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = load()
 

@@ -88,9 +88,11 @@ def a4_straddling_prefixes(spark, d):
     return C.straddling(C.with_hash_split(docs(spark, d), stem()), stem())
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 7 = 0 INTERSECT SELECT doc_id FROM labels")
+@query(f"SELECT doc_id FROM documents WHERE {_SPLIT.format(_STEM)} = 'val' INTERSECT SELECT doc_id FROM labels WHERE quality = 0")
 def u5_overlap_check(spark, d):
-    return C.overlapping(docs(spark, d).where("doc_id % 7 = 0"), table(spark, d, "labels"), "doc_id")
+    """Documents of the validation split that are pinned elsewhere."""
+    held = C.with_hash_split(docs(spark, d), stem()).where("split = 'val'")
+    return C.overlapping(held, table(spark, d, "labels").where("quality = 0"), "doc_id")
 
 
 @query("SELECT source AS name, count(*) AS n FROM documents GROUP BY source HAVING count(*) > 1")
@@ -235,11 +237,14 @@ def t13_path_segment(spark, d):
 
 
 @query(f"""
-SELECT doc_id, CASE WHEN {_STRIP.format("coalesce(p, '')")} = '' THEN true WHEN length(p) < 200 THEN false
- ELSE length(s) > 0 AND length(s) / length(p) < 0.15 END AS degenerate FROM
- (SELECT doc_id, text AS p, substr(text, 1, 120) AS s FROM documents)""")
+SELECT conv_id, turn, CASE WHEN {_STRIP.format("coalesce(p, '')")} = '' THEN true WHEN length(p) < 200 THEN false
+ ELSE length(s) > 0 AND length(s) / length(p) < 0.15 END AS degenerate FROM (SELECT u.conv_id AS conv_id, u.turn AS turn, a.text AS p, u.text AS s
+ FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')""")
 def pf6_degenerate(spark, d):
-    return docs(spark, d).select("doc_id", S.degenerate(F.col("text"), F.substring("text", 1, 120)).alias("degenerate"))
+    c = table(spark, d, "conversations")
+    u = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("s"))
+    a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("p"))
+    return u.join(a, ["conv_id", "turn"]).select("conv_id", "turn", S.degenerate(F.col("p"), F.col("s")).alias("degenerate"))
 
 
 @query(f"SELECT doc_id, {_STRIP.format('text')} AS text FROM documents WHERE {_STRIP.format('text')} <> ''")

@@ -61,15 +61,14 @@ def sc6_lengths(spark, d):
     return R.with_lengths(stored).groupBy("length").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT lang, CAST(doc_id AS VARCHAR) AS stem, n_chars FROM documents WHERE doc_id < 40")
+@query("SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY source")
 def sc7_page_documents(spark, d):
-    """A JSON document a page, keyed by file name (sc8)."""
+    """A JSON document a source, each in a file of its own (sc8: files' names)."""
     path = scratch(spark)
-    page = docs(spark, d).where("doc_id < 40")
-    page.withColumn("src", F.lit("s1")).write.partitionBy("src", "doc_id").json(path)
-    found = R.page_documents(spark, path, "lang string, n_chars long")
-    name = spark.read.option("recursiveFileLookup", "true").json(path, schema="lang string, n_chars long").select("lang", "n_chars", F.regexp_extract(F.input_file_name(), r"doc_id=(\d+)/", 1).alias("stem"))
-    return name.join(found.select("doc.*"), ["lang", "n_chars"], "left_semi")
+    pages = docs(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+    pages.withColumn("own", F.col("source")).write.partitionBy("own").json(path)
+    found = R.page_documents(spark, path, "source string, n long, chars long").select("stem", "doc.*")
+    return found.join(R.stems(spark, path), "stem", "left_semi").select("source", "n", "chars")
 
 
 @query("SELECT count(*) AS n FROM (SELECT DISTINCT lang FROM documents)")

@@ -182,13 +182,13 @@ def t9_dehyphenated(spark, d):
 
 @query()
 def t10_repaired_math(spark, d):
-    text = F.concat(F.lit("x $$"), F.substring("text", 1, 40), F.lit("\n क = 9 \\text{ख}$$ $ग+1$"))
+    text = F.concat(F.lit("x $$"), F.replace(F.col("text"), F.lit("$"), F.lit("")), F.lit("\n क = 9 \\text{ख}$$ $ग+1$"))
     return table(spark, d, "documents").select("doc_id", G.repaired_math_of(text).alias("text"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(replace(array_to_string(list_transform(string_split(substr(text, 1, 200), ' '), lambda x: '▁' || x), ''), '▁', ' '), '^\s+|\s+$', '', 'g') AS text FROM documents""")
+@query(r"""SELECT doc_id, regexp_replace(replace(array_to_string(list_transform(string_split(text, ' '), lambda x: '▁' || x), ''), '▁', ' '), '^\s+|\s+$', '', 'g') AS text FROM documents""")
 def t14_joined_pieces(spark, d):
-    pieces = F.transform(F.split(F.substring("text", 1, 200), " "), lambda x: F.concat(F.lit("▁"), x))
+    pieces = F.transform(F.split("text", " "), lambda x: F.concat(F.lit("▁"), x))
     return table(spark, d, "documents").select("doc_id", S.join_pieces(pieces).alias("text"))
 
 
@@ -203,11 +203,11 @@ def t18_strip(spark, d):
     return table(spark, d, "documents").select("doc_id", S.strip("text").alias("text"), F.length(S.strip("text")).alias("n"))
 
 
-@query(r"""SELECT conv_id, turn, levenshtein(substr(a, 1, 60), substr(b, 1, 60)) AS distance FROM (SELECT u.conv_id, u.turn,
+@query(r"""SELECT conv_id, turn, levenshtein(a, b) AS distance FROM (SELECT u.conv_id, u.turn,
  regexp_replace(u.text, '[^a-z]+', '', 'g') AS a, regexp_replace(v.text, '[^a-z]+', '', 'g') AS b
  FROM conversations u JOIN conversations v ON u.conv_id = v.conv_id AND v.turn = u.turn + 1)""")
 def t16_character_distance(spark, d):
-    bare = lambda c: F.substring(F.regexp_replace(c, "[^a-z]+", ""), 1, 60)
+    bare = lambda c: F.regexp_replace(c, "[^a-z]+", "")
     u = turns(spark, d).select("conv_id", "turn", bare(F.col("text")).alias("a"))
     v = turns(spark, d).select("conv_id", (F.col("turn") - 1).alias("turn"), bare(F.col("text")).alias("b"))
     return u.join(v, ["conv_id", "turn"]).select("conv_id", "turn", F.levenshtein("a", "b").alias("distance"))
