@@ -6,6 +6,8 @@ temporary folder where none is named.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,7 +20,11 @@ from lodestone.sources import writers as W
 
 
 def scratch(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestone-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        folder = tempfile.mkdtemp(prefix="lodestone-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = f"file://{folder}"
     return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
