@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -23,13 +25,30 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.conf.get("spark.lodestone.shared.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
+        folder = tempfile.mkdtemp(prefix="lodestone-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = f"file://{folder}"
         spark.conf.set("spark.lodestone.shared.dir", found)
     return found.rstrip("/")
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark)}/lodestone-{uuid.uuid4().hex}"
+    _SCRATCH.append(folder)
+    return f"{folder}/{name}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Deletes all that operators have written to the shared folder in this process.
+
+    Results that still read it must have been written elsewhere before.
+    """
+    while _SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:

@@ -14,9 +14,9 @@ most, whatever the input. Groups of the second step hold the leftovers of about
 ``GROUPED`` partitions.
 
 Defined results: a null text counts as empty, and an empty text is the end id
-alone; repeated rows are packed as often as they occur; ids shared by several
-rows stay apart through ``piece_of``; an empty table gives an empty table;
-further columns of the input are ignored.
+alone; repeated rows are packed as often as they occur; pieces of rows that share
+a doc_id carry that id alike; an empty table gives an empty table; further
+columns of the input are ignored.
 """
 
 from __future__ import annotations

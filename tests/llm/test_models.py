@@ -150,3 +150,16 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, sf_dir):
     assert got == want
     assert [n for n, _ in p.STAGES] == ["quality_classifier", "quality_rules", "simhash", "secrets", "packing"]
     assert simhash.dedup(docs).columns == docs.columns
+
+
+def test_scratch_tables_can_be_discarded(spark, odd_docs):
+    from pathlib import Path
+
+    from lodestone.llm import common
+
+    path = common.written(odd_docs, "t").inputFiles()[0].removeprefix("file://")
+    assert Path(path).exists()
+    kept, common._SCRATCH[:] = common._SCRATCH[:-1], common._SCRATCH[-1:]
+    common.discard(spark)
+    common._SCRATCH[:] = kept
+    assert not Path(path).exists()
