@@ -90,4 +90,4 @@ def votes(probes: DataFrame, k: int = 5) -> DataFrame:
     sums = probes.select("row", F.explode("scores").alias("lang", "p")).groupBy("row", "lang").agg(F.round(F.sum("p"), 9).alias("p"))
     w = Window.partitionBy("row").orderBy(F.desc("p"), "lang")
     out = sums.join(n, "row").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return out.select("row", "rank", "lang", F.round(F.col("p") / F.col("n"), 6).alias("prob"))
+    return out.select("row", F.col("rank").cast("long").alias("rank"), "lang", F.round(F.col("p") / F.col("n"), 6).alias("prob"))

@@ -114,7 +114,7 @@ def t17_chat_template(spark, d):
 @query("SELECT conv_id, turn AS idx, role AS speaker, length(text) AS chars FROM conversations")
 def w14_turn_expansion(spark, d):
     out = conversations(spark, d).select("conv_id", F.posexplode_outer("turns").alias("idx", "t"))
-    return out.select("conv_id", F.col("t.turn").alias("idx"), F.col("t.speaker").alias("speaker"), F.length("t.text").alias("chars"))
+    return out.select("conv_id", F.col("t.turn").alias("idx"), F.col("t.speaker").alias("speaker"), F.length("t.text").cast("long").alias("chars"))
 
 
 _N = lambda c: f"length(regexp_replace(coalesce(text, ''), '[^{c}]', '', 'g'))"
@@ -200,7 +200,7 @@ def t15_language_tokens(spark, d):
 
 @query(f"SELECT doc_id, {_STRIP.format('text')} AS text, length({_STRIP.format('text')}) AS n FROM documents")
 def t18_strip(spark, d):
-    return table(spark, d, "documents").select("doc_id", S.strip("text").alias("text"), F.length(S.strip("text")).alias("n"))
+    return table(spark, d, "documents").select("doc_id", S.strip("text").alias("text"), F.length(S.strip("text")).cast("long").alias("n"))
 
 
 @query(r"""SELECT conv_id, turn, levenshtein(a, b) AS distance FROM (SELECT u.conv_id, u.turn,
@@ -210,7 +210,7 @@ def t16_character_distance(spark, d):
     bare = lambda c: F.regexp_replace(c, "[^a-z]+", "")
     u = turns(spark, d).select("conv_id", "turn", bare(F.col("text")).alias("a"))
     v = turns(spark, d).select("conv_id", (F.col("turn") - 1).alias("turn"), bare(F.col("text")).alias("b"))
-    return u.join(v, ["conv_id", "turn"]).select("conv_id", "turn", F.levenshtein("a", "b").alias("distance"))
+    return u.join(v, ["conv_id", "turn"]).select("conv_id", "turn", F.levenshtein("a", "b").cast("long").alias("distance"))
 
 
 @query("SELECT DISTINCT lang AS l, lang IN ('en', 'fr', 'de', 'es', 'hi') AS ok FROM documents")

@@ -80,7 +80,7 @@ def pf10_prompt_slice(spark, d):
 def pf8_training_sequences(spark, d):
     """Sequences with a prefix and an end (pf9: conversations go without the prefix)."""
     ids = F.concat(F.array(F.lit(1), F.lit(2)), "c", F.array(F.lit(3)))
-    return code_arrays(spark, d).where(F.size("c") > 1).select("id", ids.alias("input_ids"), F.size(ids).alias("length"))
+    return code_arrays(spark, d).where(F.size("c") > 1).select("id", ids.alias("input_ids"), F.size(ids).cast("long").alias("length"))
 
 
 @query("SELECT doc_id, [10, CASE WHEN lang = 'en' THEN 1 ELSE 2 END, 0, 0, CASE WHEN n_chars > 1000 THEN 5 ELSE 6 END, 0, 0, 0, 0, 11] AS prompt FROM documents")
@@ -101,7 +101,7 @@ def pf22_optional_columns(spark, d):
 def f13_centre_padding(spark, d):
     padded = A.centre_padded(F.transform("c", lambda x: x.cast("double") + 1), 5)
     lead = F.array_position(F.transform(padded, lambda x: x > 0), True).cast("int") - 1
-    return code_arrays(spark, d).select("id", F.size(padded).alias("n"), lead.alias("lead"))
+    return code_arrays(spark, d).select("id", F.size(padded).cast("long").alias("n"), lead.alias("lead"))
 
 
 @query("SELECT o_orderkey AS id, CAST((2 * o_custkey * 16000 + 44100) // (2 * 44100) AS BIGINT) AS samples FROM orders")
