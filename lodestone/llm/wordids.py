@@ -17,7 +17,7 @@ import zlib
 import numpy as np
 
 #: Chunks remembered by one worker process, in each of two generations.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: Longer chunks are encoded each time.
 LONGEST_KEY = 64
 
@@ -47,17 +47,20 @@ class WordIds(dict):
         self.remembered = remembered
         self.older: dict[bytes, bytes] = {}
 
-    def _piece(self, word: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(word)]
+    def _piece(self, word: str) -> bytes:
+        return b"".join([t.id.to_bytes(2, "little") for t in self.model.tokenize(word)])
 
     def _encode(self, chunk: bytes) -> bytes:
-        ids: list[int]
         if m := _PLAIN.fullmatch(chunk):
-            ids = [i for part in m.groups() if part for i in self._piece(part.decode())]
-        elif m := _LATIN.fullmatch(chunk.decode()):
-            ids = [i for part in m.groups() if part for i in self._piece(part.encode().decode("latin-1").translate(self.table))]
-        else:
-            ids = self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
+            word, marks = m.groups()
+            if not marks:
+                return self._piece(chunk.decode())
+            # The word may be known without its marks, and the marks recur.
+            known = self.get(word) or self.older.get(word) or (self._piece(word.decode()) if word else b"")
+            return known + (self.get(marks) or self._piece(marks.decode()))
+        if m := _LATIN.fullmatch(chunk.decode()):
+            return b"".join(self._piece(part.encode().decode("latin-1").translate(self.table)) for part in m.groups() if part)
+        ids = self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
         return np.array(ids, "<u2").tobytes()
 
     def __missing__(self, chunk: bytes) -> bytes:
