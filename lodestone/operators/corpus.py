@@ -16,16 +16,23 @@ def drop_empty(df: DataFrame, *texts: str) -> DataFrame:
     return out
 
 
+def digest(*values: Column) -> Column:
+    """SHA-256 of values, each with its length before it, so that no two lists of values look alike."""
+    part = lambda v: F.coalesce(F.concat_ws(":", F.length(v.cast("string")), v.cast("string")), F.lit("-"))
+    return F.sha2(F.concat(*(F.when(v.isNull(), "-").otherwise(part(v)) for v in values)), 256)
+
+
 def first_occurrence(df: DataFrame, key: list[Column | str], order: list[Column | str]) -> DataFrame:
     """The first row of each key by ``order``, which must be unique.
 
     ``min_by`` of the whole row combines before the shuffle, so a key that a
-    third of all rows share reaches its task as one row for each task before.
+    third of all rows share reaches its task as one row for each task before. Keys
+    are their digests: a long text is moved once, in its row.
     """
-    rank = F.struct(*(o if isinstance(o, Column) else F.col(o) for o in order))
+    column = lambda c: c if isinstance(c, Column) else F.col(c)
+    rank = F.struct(*map(column, order))
     row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
-    keys = [(k if isinstance(k, Column) else F.col(k)).alias(f"__k{i}") for i, k in enumerate(key)]
-    kept = df.groupBy(*keys).agg(F.min_by(row, rank).alias("__row"))
+    kept = df.groupBy(digest(*map(column, key)).alias("__key")).agg(F.min_by(row, rank).alias("__row"))
     return kept.select("__row.*")
 
 
