@@ -81,7 +81,7 @@ class Pieces:
         key = (before, piece)
         known = self.follows.get(key)
         if known is None:
-            if len(self.follows) > 2_000_000:
+            if len(self.follows) > 500_000:
                 self.follows.clear()
             known = self.follows[key] = self.merged(before + piece) == ([before, piece] if before else [piece])
         return known
