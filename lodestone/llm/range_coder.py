@@ -64,9 +64,12 @@ class Writer:
                 word = self.words[over, where] + np.uint16(1)
                 self.words[over, where] = word
                 over, where = over[word == 0], where[word == 0] - 1
-        while len(lanes := np.flatnonzero(self.range[:n] < _U(1 << 48))):
+        lanes = np.flatnonzero(self.range[:n] < _U(1 << 48))
+        while len(lanes):
             self._out(lanes)
-            self.range[lanes] <<= _U(16)
+            left = self.range[lanes] << _U(16)
+            self.range[lanes] = left
+            lanes = lanes[left < _U(1 << 48)]
 
     def blocks(self) -> list[bytes]:
         every = np.arange(len(self.at))
@@ -96,11 +99,14 @@ class Reader:
         r = self.range[:n] >> _U(bits)
         self.code[:n] -= r * cum
         self.range[:n] = r * freq
-        while len(lanes := np.flatnonzero(self.range[:n] < _U(1 << 48))):
-            at = np.minimum(self.at[lanes], self.words.shape[1] - 1)
-            self.code[lanes] = (self.code[lanes] << _U(16)) | self.words[lanes, at]
-            self.at[lanes] += 1
-            self.range[lanes] <<= _U(16)
+        lanes = np.flatnonzero(self.range[:n] < _U(1 << 48))
+        while len(lanes):
+            at = self.at[lanes]
+            self.code[lanes] = (self.code[lanes] << _U(16)) | self.words[lanes, np.minimum(at, self.words.shape[1] - 1)]
+            self.at[lanes] = at + 1
+            left = self.range[lanes] << _U(16)
+            self.range[lanes] = left
+            lanes = lanes[left < _U(1 << 48)]
 
 
 class Order0:
@@ -154,7 +160,6 @@ def _run(coder, prior: Order0, lanes: int, lengths: np.ndarray, ids: np.ndarray
     table1, table2 = np.zeros(lanes << _S1, "i4"), np.zeros(lanes << _S2, "i4")
     at1, at2, at128, at16, at_group, at_cum = lane << _S1, lane << _S2, lane << 7, lane << 4, lane * groups, lane * (groups + 1)
     first = np.full(lanes << 7, 1 << 13, "i4")  # chances that the first candidate holds, by orders 2 and 1
-    second = np.full(lanes << 7, 1 << 13, "i4")
     zeroth = np.full(lanes << 4, 1 << 12, "i4")  # and by order 0
     weight = np.full(lanes, 3000, "i4")  # of 4096
     counts = np.tile(prior.start, (lanes, 1))
@@ -164,11 +169,15 @@ def _run(coder, prior: Order0, lanes: int, lengths: np.ndarray, ids: np.ndarray
     ramp = np.arange(1, groups + 1)
     places = prior.places() if reading else None
     last, before = np.zeros(lanes, np.intp), np.zeros(lanes, np.intp)
+    coded: list[np.ndarray] = []
     mask1, mask2 = (1 << _S1) - 1, (1 << _S2) - 1
 
     for t in range(steps):
         n = int(active[t])
         if t % _REFRESH == 0:
+            if t:  # what the steps since then have coded by groups
+                np.add.at(flat_counts, np.concatenate(coded), _STEP)
+                coded = []
             total = counts.sum(axis=1, keepdims=True, dtype="i8")
             if int(total.max()) > 60000:
                 counts -= counts >> 1
@@ -185,7 +194,7 @@ def _run(coder, prior: Order0, lanes: int, lengths: np.ndarray, ids: np.ndarray
         candidate = np.where(has2, c2, c1).astype(np.intp)
         k = at128 + ((n2 << 4) + (n1 << 1) + differ)
         z = at16 + prior.kind[candidate]
-        by21, by0, rest = first[k], zeroth[z], second[k]
+        by21, by0, rest = first[k], zeroth[z], first[at128 + (n1 << 1) + 1]
         p = (by21 * weight + by0 * (4096 - weight)) >> 12
         p *= (n1 | n2) > 0
         q = ((32768 - p) * rest >> 15) * (has2 & differ & (n1 > 0))
@@ -222,9 +231,8 @@ def _run(coder, prior: Order0, lanes: int, lengths: np.ndarray, ids: np.ndarray
         to = np.where(hit, _HIGH, _LOW)
         first[k] = by21 + ((to - by21) >> 5)
         zeroth[z] = by0 + ((to - by0) >> 5)
-        second[k] = rest + ((np.where(known, _HIGH, _LOW) - rest >> 5) * ((q > 0) & ~hit))
         weight = np.minimum(np.maximum(weight + ((to - p >> 6) * (by21 - by0 >> 6) >> 10), 256), 3840)
-        flat_counts[at_group + (x >> _GROUP)] += _STEP * ~known
+        coded.append((at_group + (x >> _GROUP))[~known])
         fresh = (x << 3) + 1
         table1[i1] = np.where(c1 == x, e1 + (n1 < 7), np.where(n1 > 1, e1 - 1, fresh))
         table2[i2] = np.where(c2 == x, e2 + (n2 < 7), np.where(n2 > 1, e2 - 1, fresh))
