@@ -43,7 +43,7 @@ RATE = 0.1
 #: The end of a text; no word holds a line's end.
 END = b"\n"
 #: Words after which a task's partial counts are passed on.
-FLUSH = 500_000
+FLUSH = 250_000
 #: Tokens scored at once.
 TOGETHER = 1 << 18
 
