@@ -50,9 +50,10 @@ HARMLESS = {
 THRESHOLD = 4.0
 MIN_LITERAL = 8
 
-#: A target, an assignment sign, and a quoted literal or a bare word.
+#: A target, an assignment sign, and a quoted literal or a bare word, all of any length. A run of name characters is
+#: entered at its start only and nothing that repeats gives back, so that a scan is linear in the text.
 _PAIR = re.compile(
-    r"""([A-Za-z_][A-Za-z0-9_.\-]{0,80})["']?\]?[ \t]{0,16}(?::=|=>|=(?!=)|:(?!:))[ \t]{0,16}(?:"([^"\n]{0,4096})"|'([^'\n]{0,4096})'|([^\s"',;(){}\[\]]{1,4096}))"""
+    r"""(?<![A-Za-z0-9_.\-])[0-9.\-]*+([A-Za-z_][A-Za-z0-9_.\-]*+)["']?\]?[ \t]*+(?::=|=>|=(?!=)|:(?!:))[ \t]*+(?:"([^"\n]*+)"|'([^'\n]*+)'|([^\s"',;(){}\[\]]++))"""
 )
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*")
 _SUBWORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -112,13 +113,18 @@ def named_spans(text: str) -> list[Span]:
     if ":" not in text and "=" not in text:
         return []
     constants: dict[str, tuple[int, int]] = {}
+    looks: dict[tuple[int, int], float] = {}  # a constant's literal is scored once, however often it is named
     out = {}
     for name, start, end, quoted in pairs(text):
         if not quoted and _IDENTIFIER.fullmatch(text, start, end):
             start, end = constants.get(text[start:end], (start, end))
         constants[name] = (start, end)
         sensitive = name_score(name)
-        if sensitive >= 2 and sensitive + literal_score(text[start:end]) >= THRESHOLD:
+        if sensitive < 2:
+            continue
+        if (start, end) not in looks:
+            looks[start, end] = literal_score(text[start:end])
+        if sensitive + looks[start, end] >= THRESHOLD:
             out[start, end] = Span(start, "named", end)
     return list(out.values())
 
