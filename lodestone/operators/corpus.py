@@ -102,6 +102,17 @@ def zipped(a: DataFrame, b: DataFrame, ordinal: str) -> DataFrame:
     return both.withColumn(ordinal, checked).drop("__a", "__b")
 
 
+def ranked(rows: DataFrame, order: list[Column], path: str) -> DataFrame:
+    """Adds ``rank`` from 0 by ``order``: ranges of the sorted rows are written to ``path``, counted within and added up."""
+    rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()).write.parquet(path)
+    spread = rows.sparkSession.read.parquet(path)
+    before = Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    sizes = spread.groupBy("__range").count().select("__range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    out = spread.withColumn("__inside", inside).join(F.broadcast(sizes), "__range")
+    return out.withColumn("rank", F.col("__base") + F.col("__inside")).drop("__range", "__base", "__inside")
+
+
 def known_or_raise(df: DataFrame, value: str, known: DataFrame, key: str) -> DataFrame:
     """Lookup join by name; an unknown name raises."""
     out = df.join(F.broadcast(known) if known.limit(10_001).count() <= 10_000 else known, F.col(value) == F.col(key), "left")

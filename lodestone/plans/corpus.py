@@ -265,6 +265,14 @@ def o1_longest_first(spark, d):
     return top.withColumn("rank", (F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")) - 1).cast("long"))
 
 
+@query("SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS rank FROM documents")
+def o1_length_order(spark, d):
+    """The whole sort; o1_longest_first reports its first 100."""
+    from lodestone.plans.files import scratch
+
+    return C.ranked(docs(spark, d).select("doc_id", "n_chars"), [F.desc("n_chars"), F.asc("doc_id")], scratch(spark))
+
+
 @query("SELECT doc_id, doc_id % 8 AS shard FROM documents")
 def o8_round_robin(spark, d):
     return docs(spark, d).select("doc_id", F.pmod(F.col("doc_id"), F.lit(8)).cast("long").alias("shard"))
