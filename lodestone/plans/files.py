@@ -91,6 +91,13 @@ def sc10_blob_span(spark, d):
     return t.select("doc_id", R.byte_span(F.encode("text", "UTF-8"), F.lit(2), F.lit(7), 1).cast("string").alias("part"))
 
 
+@query("SELECT doc_id, substr(hex(encode(text)), 5, 10) AS part FROM documents")
+def sc10_byte_spans(spark, d):
+    """Spans of all documents' bytes, in hex; sc10_blob_span has those of ASCII texts alone."""
+    part = R.byte_span(F.encode("text", "UTF-8"), F.lit(2), F.lit(7), 1)
+    return table(spark, d, "documents").select("doc_id", F.hex(part).alias("part"))
+
+
 @query("SELECT lang, min(doc_id) AS first, max(doc_id) + 5 AS past, count(*) AS n FROM documents GROUP BY lang")
 def sc12_covering_spans(spark, d):
     spans = docs(spark, d).select("lang", F.col("doc_id").alias("start"), (F.col("doc_id") + 5).alias("stop"))

@@ -14,3 +14,10 @@ def test_ranks_are_of_all_rows(spark, tmp_path):
 def test_every_document_has_a_rank(spark, sf_dir):
     got = catalog.QUERIES["o1_length_order"](spark, sf_dir)
     assert got.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count() > 100
+
+
+def test_byte_spans_are_of_all_documents(spark, sf_dir):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert any(not (t or "").isascii() for t in docs.values())
+    got = {r["doc_id"]: r["part"] for r in catalog.QUERIES["sc10_byte_spans"](spark, sf_dir).collect()}
+    assert got == {d: None if t is None else t.encode()[2:7].hex().upper() for d, t in docs.items()}
