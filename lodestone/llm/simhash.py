@@ -233,27 +233,37 @@ def fingerprint_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "side").mapInArrow(_linked, "a long, b long")
 
 
+def _roots(distinct: DataFrame) -> DataFrame:
+    """``distinct``, a row for each fingerprint ``fp``, with the ``root`` of its component."""
+    found = connected_components(fingerprint_links(distinct.select("fp")))
+    member = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left")
+    return member.withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs`` (doc_id, text)."""
     every = written(fingerprints(docs), "fingerprints")
-    distinct = written(every.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    found = connected_components(fingerprint_links(distinct.select("fp")))
-    member = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left")
-    member = member.select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    member = _roots(written(every.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct"))
     by_root = member.groupBy("root").agg(F.min("least").alias("component_id"))
     component = member.join(by_root, "root").select("fp", "component_id")
     return every.join(component, "fp").select("doc_id", "fp", "component_id")
 
 
+def _fingerprints_of(texts):
+    import pandas as pd
+
+    return pd.Series(np.array([fingerprint((t or "").encode()) for t in texts], "u8").view("i8"))
+
+
 def dedup(docs: DataFrame) -> DataFrame:
-    """One document of each component of ``docs`` stays: the one with the least doc_id.
+    """One row of each component of ``docs`` stays: the one with the least doc_id, null being the last.
 
-    Rows that share a doc_id count as one document, of which one row stays.
+    Rows are told apart by a key that is written with them, so doc_id may be
+    null or repeated: rows leave only for another of their own component.
     """
-    found = written(near_duplicates(docs), "members")
-    keep = found.where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-    ids = keep.groupBy("doc_id").count()
-    spread = docs.hint("shuffle_hash").join(ids.select(F.col("doc_id").alias("kept_id")), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    if ids.where("count > 1").limit(1).count():
-        spread = spread.dropDuplicates(["doc_id"])
-    return spread
+    fp = F.pandas_udf(_fingerprints_of, "long")("text")
+    every = written(docs.withColumns({"__fp": fp, "__row": F.monotonically_increasing_id()}), "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__fp").alias("fp"), F.col("__row").alias("row")))
+    member = _roots(written(every.groupBy(F.col("__fp").alias("fp")).agg(first.alias("first")), "distinct"))
+    keep = member.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
+    return every.hint("shuffle_hash").join(keep, "__row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

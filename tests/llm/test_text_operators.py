@@ -96,6 +96,16 @@ def test_dedup_keeps_one_row_of_each_group(spark, sf_dir, odd_docs):
         assert simhash.dedup(df).columns == df.columns
 
 
+def test_dedup_keeps_groups_of_null_and_repeated_ids(spark):
+    a, b, c, d = (" ".join(f"{w}{k}" for k in range(40)) for w in ("tree", "lamp", "river", "stone"))
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (3, c), (None, d), (8, a), (8, "quite another text")]
+    groups = slow_components(list(enumerate(t for _, t in rows)))  # by row number
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = docs_of(simhash.dedup(df))
+    assert len(kept) == len({g for _, _, g in groups}) == 5
+    assert set(kept) == {(8, a), (None, b), (3, c), (7, d), (8, "quite another text")}
+
+
 # Token ids, packing and files
 
 
