@@ -2,9 +2,12 @@
 
 Equal vectors are one row with a count. Centroids are fitted on a sample of at
 most ``SAMPLE`` distinct vectors, taken by hash order; all vectors are then
-assigned. A vector's home is its nearest cell; it also asks every cell whose
-centroid is at most ``MARGIN`` less similar. A pair is found if one of the two
-asks the other's home. Within a cell, blocks of asking and home vectors are
+assigned. A vector's home A is its nearest cell; it also asks every cell B whose
+centroid is at most ``r |A - B| / 2`` less similar, where r is the distance of
+unit vectors at the least cosine. A pair is found if one of the two asks the
+other's home, and no pair is lost: if x is at home in A and y in B, the two gaps
+``x.(A - B)`` and ``y.(B - A)`` add up to ``(x - y).(A - B) <= r |A - B|``, so the
+smaller is at most half of that. Within a cell, blocks of asking and home vectors are
 multiplied as matrices in double precision; a pair seen from both sides is
 credited to the asking side only, and one seen from one side to both, so links
 are counted once. Tasks return, for each vector, its number of links and the
@@ -34,7 +37,8 @@ COSINE = 0.95
 SAMPLE = 20_000
 PER_CELL = 512
 MOST_CELLS = 4096
-MARGIN = 0.12
+#: Added to margins for rounding.
+SLACK = 1e-9
 ROUNDS = 12
 HOME_BLOCK = 4096
 ASK_BLOCK = 16384
@@ -66,7 +70,14 @@ def _valid(v):
     return F.coalesce(F.forall(v, number) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _assign(distinct: DataFrame, centroids: np.ndarray, length: int) -> DataFrame:
+def margins(centroids: np.ndarray, homes: np.ndarray, cosine: float) -> np.ndarray:
+    """How much less similar than its home in ``homes`` a cell may be to be asked: a row a home, a column a cell."""
+    squares = (centroids * centroids).sum(axis=1)
+    apart = squares[homes, None] + squares - 2 * centroids[homes] @ centroids.T
+    return 0.5 * np.sqrt(max(2 - 2 * cosine, 0) * apart.clip(0)) + SLACK
+
+
+def _assign(distinct: DataFrame, centroids: np.ndarray, length: int, cosine: float) -> DataFrame:
     """Adds ``home`` and ``asks`` (cells); vectors of another length share the cell -length."""
 
     def run(batches):
@@ -80,7 +91,8 @@ def _assign(distinct: DataFrame, centroids: np.ndarray, length: int) -> DataFram
                 some = rows[at : at + 2048]
                 similar = unit_vectors(b.column("v").take(pa.array(some))) @ centroids.T
                 best = similar.argmax(axis=1)
-                asked = similar >= similar.max(axis=1, keepdims=True) - MARGIN
+                homes, of = np.unique(best, return_inverse=True)
+                asked = similar >= similar.max(axis=1, keepdims=True) - margins(centroids, homes, cosine)[of]
                 home[some] = best
                 for r, k in zip(some.tolist(), asked, strict=True):
                     asks[r] = np.flatnonzero(k).tolist()
@@ -143,7 +155,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, per_cell: int =
     sample = distinct.where(F.size("v") == length).orderBy(F.xxhash64("v"), "node").limit(SAMPLE).select("v").toArrow()
     x = unit_vectors(sample.column("v").combine_chunks()) if sample.num_rows else np.ones((1, length))
     cells = min(max(1, -(-count // per_cell)), MOST_CELLS)
-    assigned = written(_assign(distinct, spherical_kmeans(x, cells), length), "assigned")
+    assigned = written(_assign(distinct, spherical_kmeans(x, cells), length, cosine), "assigned")
 
     asking = assigned.withColumn("cell", F.explode("asks"))
     n_ask, n_home = asking.groupBy("cell").count(), assigned.groupBy(F.col("home").alias("cell")).count()

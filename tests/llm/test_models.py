@@ -84,6 +84,19 @@ def test_embeddings_against_brute_force(spark):
     assert embedding_dedup.dedup(df).count() == len(set(label))
 
 
+def test_no_link_across_cells_is_lost(spark):
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    x, y = unit(rng.normal(size=(1500, 8))), rng.normal(size=(1500, 8))
+    y = unit(y - (y * x).sum(axis=1)[:, None] * x)
+    v = np.vstack([x, 0.951 * x + math.sqrt(1 - 0.951**2) * y]) @ np.linalg.qr(rng.normal(size=(32, 8)))[0].T
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    near = links_of(v)
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df, per_cell=375).collect()}
+    assert [got[i]["n_links"] for i in range(len(v))] == near.sum(axis=1).tolist()
+    assert [got[i]["component_id"] for i in range(len(v))] == slow_labels(near, range(len(v))).tolist()
+
+
 def test_odd_vectors(spark):
     rows = [(0, None), (1, []), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0])]
     rows += [(6, [1.0, 2.0]), (7, [2.0, 4.0]), (7, [2.0, 4.0]), (8, [1.0, 2.0, 0.0]), (None, [1.0, 2.0])]
