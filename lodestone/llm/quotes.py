@@ -2,10 +2,13 @@
 
 A message's lines are parsed into its own text and nested quotes: the level is
 the number of leading ``>``. Passages are runs of lines of one level between
-blank lines, and the whole of a run; they are normalised (ASCII lower case,
-single blanks) and hashed. A quoted passage is joined to its original, the
-earliest message that has it as its own text: in the same conversation, if
-earlier there, else in any other. A message replies to the latest message of its
+blank lines, the whole of a run and the whole own text; they are normalised
+(ASCII lower case, single blanks) and hashed. A quoted passage is joined to its
+original, the earliest message that has it as its own text: in the same
+conversation, if earlier there, else in any other. A passage without one, such
+as a quote trimmed to some lines, is joined by its lines: it is linked if each
+of them has an original, to the latest of these if all are earlier in the same
+conversation. A message replies to the latest message of its
 conversation that its first-level quotes name. Messages without such a link are
 the trunk; each other one belongs to the trunk message that its links lead to.
 Conversations are returned reply-ordered and without quotes: trunk messages by
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,8 +39,8 @@ _QUOTED = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)(.*)", re.DOTALL)
 _ATTRIBUTION = re.compile(r"[ \t]*(?:On .{1,200} wrote|.{1,80} (?:wrote|said)):[ \t]*$")
 
 _PARSED = (
-    "row long, conv_id long, turn long, role string, text string, own array<string>, "
-    "quotes array<struct<level: int, h: string>>"
+    "row long, conv_id long, turn long, role string, text string, own array<string>, lines array<string>, "
+    "quotes array<struct<level: int, h: string, lines: array<string>>>"
 )
 
 
@@ -81,24 +85,40 @@ def passages(lines: list[str]) -> list[list[str]]:
     return [lines, *parts] if len(parts) > 1 else [lines] if parts else []
 
 
-def parse(text: str) -> tuple[str, list[str], list[tuple[int, str]]]:
-    """Own text without quotes and their attributions; hashes of its passages; (level, hash) of quotes."""
+def line_hashes(lines: list[str]) -> list[str]:
+    return list(dict.fromkeys(h for line in lines if (h := passage_hash([line]))))
+
+
+class Message(NamedTuple):
+    own_text: str  # without quotes and their attributions, a blank line for each quote between
+    own: list[str]  # hashes of its passages
+    lines: list[str]  # hashes of its lines that are no passages
+    quotes: dict[tuple[int, str], list[str]]  # (level, hash) of quoted passages, with hashes of their lines
+
+
+def parse(text: str) -> Message:
     found = runs(levels(text))
-    own: list[str] = []
-    quotes = []
+    own: list[list[str]] = []
+    quotes: dict[tuple[int, str], list[str]] = {}
     for k, (level, lines) in enumerate(found):
         if level:
-            quotes += [(level, h) for p in passages(lines) if (h := passage_hash(p))]
+            for p in passages(lines):
+                if h := passage_hash(p):
+                    quotes.setdefault((level, h), line_hashes(p))
             continue
         quoted_next = k + 1 < len(found)
         while quoted_next and lines and not lines[-1].strip():
             lines = lines[:-1]
         if quoted_next and lines and _ATTRIBUTION.match(lines[-1]):
             lines = lines[:-1]
-        own += lines
-    own_text = "\n".join(own).strip("\n")
-    hashes = [h for p in passages(own) if (h := passage_hash(p))]
-    return own_text, list(dict.fromkeys(hashes)), list(dict.fromkeys(quotes))
+        if any(map(str.strip, lines)):
+            own.append(lines)
+    own_text = "\n\n".join("\n".join(lines).strip("\n") for lines in own)
+    glued = [line for lines in own for line in lines]
+    wholes = own if len(own) < 2 else [glued, *own]
+    hashes = list(dict.fromkeys(h for w in wholes for p in passages(w) if (h := passage_hash(p))))
+    known = set(hashes)
+    return Message(own_text, hashes, [h for h in line_hashes(glued) if h not in known], quotes)
 
 
 def _parse_all(messages: DataFrame) -> DataFrame:
@@ -107,17 +127,18 @@ def _parse_all(messages: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 36
-        kind = pa.list_(pa.struct([("level", pa.int32()), ("h", pa.string())]))
+        strings = pa.list_(pa.string())
+        kind = pa.list_(pa.struct([("level", pa.int32()), ("h", pa.string()), ("lines", strings)]))
         for b in batches:
             found = [parse(t or "") for t in b.column(3).to_pylist()]
             rows = pa.array(range(row, row + len(found)), pa.int64())
             row += len(found)
-            quotes = [[{"level": k, "h": h} for k, h in x[2]] for x in found]
+            quotes = [[{"level": k, "h": h, "lines": x} for (k, h), x in m.quotes.items()] for m in found]
             columns = [
-                rows, *b.columns[:3], pa.array([x[0] for x in found], pa.string()),
-                pa.array([x[1] for x in found], pa.list_(pa.string())), pa.array(quotes, kind),
+                rows, *b.columns[:3], pa.array([m.own_text for m in found], pa.string()),
+                pa.array([m.own for m in found], strings), pa.array([m.lines for m in found], strings), pa.array(quotes, kind),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "conv_id", "turn", "role", "text", "own", "quotes"])
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "conv_id", "turn", "role", "text", "own", "lines", "quotes"])
 
     picked = messages.select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("unknown")).alias("role"), "text"
@@ -125,23 +146,40 @@ def _parse_all(messages: DataFrame) -> DataFrame:
     return written(picked.mapInArrow(run, _PARSED), "messages")
 
 
-def _links(parsed: DataFrame) -> DataFrame:
-    """(row, conv_id, turn, n_quotes, max_level, n_linked, parent_turn) of messages that quote."""
-    quotes = parsed.select("row", "conv_id", "turn", F.explode("quotes").alias("q")).select("row", "conv_id", "turn", "q.level", "q.h")
-    originals = parsed.select("conv_id", "turn", F.explode("own").alias("h"))
+def _with_originals(quotes: DataFrame, originals: DataFrame) -> DataFrame:
+    """``quotes`` with ``here``, the first turn of h in the same conversation, if earlier, and whether it is ``linked`` at all."""
     originals = originals.join(quotes.select("h").distinct(), "h", "left_semi")
     here = originals.groupBy("conv_id", "h").agg(F.min("turn").alias("here"))
-    first = here.groupBy("h").agg(F.min(F.struct("conv_id", "here")).alias("first"))
-    joined = quotes.join(here, ["conv_id", "h"], "left").join(first, "h", "left")
-    near = F.col("here") < F.col("turn")
-    far = F.col("first.conv_id") != F.col("conv_id")
-    return joined.groupBy("row").agg(
+    # Whether another conversation has it: the least or the greatest that has it is another.
+    ends = here.groupBy("h").agg(F.min("conv_id").alias("least"), F.max("conv_id").alias("greatest"))
+    joined = quotes.join(here, ["conv_id", "h"], "left").join(ends, "h", "left")
+    near = F.coalesce(F.col("here") < F.col("turn"), F.lit(False))
+    far = F.coalesce((F.col("least") != F.col("conv_id")) | (F.col("greatest") != F.col("conv_id")), F.lit(False))
+    return joined.withColumns({"here": F.when(near, F.col("here")), "linked": near | far}).drop("least", "greatest")
+
+
+def _links(parsed: DataFrame) -> DataFrame:
+    """(row, conv_id, turn, n_quotes, max_level, n_linked, parent_turn) of messages that quote."""
+    quotes = parsed.select("row", "conv_id", "turn", F.posexplode("quotes").alias("place", "q")).select("row", "conv_id", "turn", "place", "q.*")
+    whole = _with_originals(quotes, parsed.select("conv_id", "turn", F.explode("own").alias("h")))
+    whole = written(whole.withColumn("lines", F.when(~F.col("linked"), F.col("lines"))).drop("h"), "whole")
+    lines = whole.where("NOT linked").select("row", "conv_id", "turn", "place", "level", F.explode("lines").alias("h"))
+    by_line = _with_originals(lines, parsed.select("conv_id", "turn", F.explode(F.concat("own", "lines")).alias("h")))
+    trimmed = by_line.groupBy("row", "place").agg(
+        F.first("conv_id").alias("conv_id"),
+        F.first("turn").alias("turn"),
+        F.first("level").alias("level"),
+        F.when(F.every(F.col("here").isNotNull()), F.max("here")).alias("here"),
+        F.every("linked").alias("linked"),
+    )
+    columns = ("row", "conv_id", "turn", "level", "here", "linked")
+    return whole.where("linked").select(*columns).unionByName(trimmed.select(*columns)).groupBy("row").agg(
         F.first("conv_id").alias("conv_id"),
         F.first("turn").alias("turn"),
         F.count(F.lit(1)).alias("n_quotes"),
         F.max("level").alias("max_level"),
-        F.count_if(near | far).alias("n_linked"),
-        F.max(F.when(near & (F.col("level") == 1), F.col("here"))).alias("parent_turn"),
+        F.count_if("linked").alias("n_linked"),
+        F.max(F.when(F.col("level") == 1, F.col("here"))).alias("parent_turn"),
     )
 
 
@@ -184,7 +222,7 @@ def format_chat(messages: DataFrame) -> DataFrame:
     links = written(_links(parsed), "links")
     roots = _roots(links)
     of_row = links.select("row", "n_quotes", "max_level", "n_linked", "parent_turn")
-    out = parsed.drop("own", "quotes").join(of_row, "row", "left").join(roots, ["conv_id", "turn"], "left")
+    out = parsed.drop("own", "lines", "quotes").join(of_row, "row", "left").join(roots, ["conv_id", "turn"], "left")
     out = out.withColumn("root", F.coalesce("root", "turn"))
     out = _positions(out, "conv_id", ["root", "turn", "role", "text", "row"])
     chat = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("text"), F.lit("<|end|>\n"))

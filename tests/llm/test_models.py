@@ -129,6 +129,18 @@ def test_quotes_link_to_their_originals(spark):
     assert quotes.format_chat(df.limit(0)).count() == 0
 
 
+def test_interleaved_trimmed_and_far_quotes_link(spark):
+    rows = [
+        (1, 0, "a", "q"), (1, 1, "b", "a1\n\n> q\na2"), (1, 2, "a", "> a1\n> > q\n> a2\nyes"), (1, 3, "b", "line one\nline two\nline three"),
+        (1, 4, "a", "> line two\n> line three\nagreed"), (1, 5, "b", "> line two\n> line four\nwhat"), (1, 6, "a", "> said elsewhere\nno"),
+        (1, 7, "b", "said elsewhere"), (2, 0, "a", "said elsewhere"),
+    ]
+    got = quotes.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("conv_id = 1")
+    found = {r["turn"]: (r["parent_turn"], r["n_quotes"], r["n_linked"]) for r in got.collect()}
+    assert found == {0: (None, 0, 0), 1: (0, 1, 1), 2: (1, 3, 3), 3: (None, 0, 0), 4: (3, 1, 1), 5: (None, 1, 0), 6: (None, 1, 1), 7: (None, 0, 0)}
+    assert got.where("turn = 1").first()["text"] == "<|b|>\na1\n\na2<|end|>\n"
+
+
 def test_conversations_without_quotes_keep_their_order(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     got = quotes.format_chat(df)
