@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import text_bytes, written
+from lodestone.llm.common import written
 from lodestone.llm.wordids import crc_of, vocabulary, word_ids
 
 WIDTH = 2048
@@ -52,8 +52,9 @@ class Packer:
         self.made = 0
 
     def _put(self, window: int, room: int, piece: tuple) -> list | None:
-        self.open.setdefault(window, []).append(piece)
-        room -= len(piece[2])
+        doc, start, ids, total = piece
+        self.open.setdefault(window, []).append((doc, start, ids.copy(), total))  # a copy, not a view of a whole chunk
+        room -= len(ids)
         if room:
             insort(self.room, (room, window))
             return None
@@ -134,7 +135,7 @@ def pack(
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encode = word_ids(path).ids
+        each = word_ids(path).each
         part = TaskContext.get().partitionId()
         packer, n = Packer(width, open_windows, min_piece), part << 36
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -147,8 +148,8 @@ def pack(
 
         for b in batches:
             rows: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True):
-                for window in packer.add(doc, np.append(encode(text), np.uint32(end_id))):
+            for doc, ids in zip(b.column(0).to_pylist(), each(b.column(1), end_id), strict=True):
+                for window in packer.add(doc, ids):
                     rows += _rows(window, n)
                     n += 1
             yield batch(rows)

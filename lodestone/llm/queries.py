@@ -64,7 +64,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import token_files
 
-    return token_files.digest(token_files.write_tokens(documents(spark, sf_dir)))
+    return token_files.digest(spark, token_files.write_tokens(documents(spark, sf_dir)))
 
 
 def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,17 +1,18 @@
 """Adaptive context-mixing range coder for token ids.
 
 Ids are coded in blocks that start from the same state, so any block can be
-decoded alone; each has a checksum. For each id three predictors speak: order 2
-and order 1 hold, in small tables, the id last seen in their context and how
-often it held; order 0 is the id's frequency. The chance that the candidate of
-the highest order holds mixes what orders 2 and 1 say (by how sure they are)
-with what order 0 says of it, by a weight learned as the block goes; the rest
-goes to order 1's candidate, if another, and to all ids by order 0: adaptive
-frequencies of groups of ids, times frequencies in the group. So an id takes
-one or two steps of the coder. Arithmetic is in integers throughout, so
-decoding repeats it exactly.
-
-Blocks of a segment advance together, one id each at a time, as numpy lanes.
+decoded alone; each has a checksum. Three predictors speak for each id. Orders
+2 and 1 name the id that last followed the same two ids, or the same id, in
+the block (small hashed tables). Order 0 is a distribution over all ids: in
+classes of equal shares of the segment, whose frequencies adapt to the block,
+and by the segment's frequencies within a class. The coder's distribution is
+the mixture ``p * [order 2's id] + q * [order 1's id] + (1 - p - q) * order 0``;
+its weights p and q are learned as the block goes, apart for each state: which
+predictors speak, whether they agree, and whether the last three ids were
+foretold. Arithmetic is in integers throughout, so decoding repeats it exactly.
+
+Blocks of a segment advance together, one id each at a time, as numpy lanes;
+weights and class frequencies are learned anew every ``REFRESH`` steps.
 """
 
 from __future__ import annotations
@@ -21,252 +22,362 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"LRC1"
+MAGIC = b"LRC2"
 BLOCK = 1024
-#: Blocks that advance together; a segment holds about so many.
-LANES = 8192
-_S1, _S2 = 9, 10  # binary logarithms of the tables' sizes
-_GROUP = 10  # and of a group's ids
-_REFRESH = 128
-_STEP = np.int32(24)
-_ONE = 1 << 16
-_LOW, _HIGH = np.int32(32), np.int32((1 << 15) - 32)  # bounds of a chance, of 15 bits
+#: Blocks that advance together.
+LANES = 4096
+REFRESH = 128
+_S1, _S2 = 8, 9  # binary logarithms of the tables' sizes
+_CLASSES = 16
+_STATES = 32  # three outcomes before, four cases of what the predictors say
+_FULL = 1 << 16  # what the frequencies of a class add up to
+_SPAN = 256  # and those of all classes
+_MOST = 32768 - 64  # of 32768: the most that orders 2 and 1 together get
 
 _U = np.uint64
-
-
-class Writer:
-    """One range encoder a lane, with carries put through what is already written."""
-
-    def __init__(self, lanes: int, length: int):
-        self.low, self.range = np.zeros(lanes, "u8"), np.full(lanes, ~_U(0))
-        self.words = np.zeros((lanes, length + 64), "u2")
-        self.at = np.zeros(lanes, "i8")
-
-    def _out(self, lanes: np.ndarray) -> None:
-        at = self.at[lanes]
-        if int(at.max(initial=0)) + 8 > self.words.shape[1]:
-            self.words = np.pad(self.words, ((0, 0), (0, self.words.shape[1] // 2)))
-        low = self.low[lanes]
-        self.words[lanes, at] = low >> _U(48)
-        self.at[lanes] = at + 1
-        self.low[lanes] = low << _U(16)
-
-    def put(self, n: int, cum: np.ndarray, freq: np.ndarray, bits: int) -> None:
-        """Codes [cum, cum + freq) of 1 << bits in the first n lanes."""
-        r = self.range[:n] >> _U(bits)
-        low = self.low[:n] + r * cum
-        over = np.flatnonzero(low < self.low[:n])
-        self.low[:n], self.range[:n] = low, r * freq
-        if len(over):
-            where = self.at[over] - 1
-            while len(over):
-                word = self.words[over, where] + np.uint16(1)
-                self.words[over, where] = word
-                over, where = over[word == 0], where[word == 0] - 1
-        lanes = np.flatnonzero(self.range[:n] < _U(1 << 48))
-        while len(lanes):
-            self._out(lanes)
-            left = self.range[lanes] << _U(16)
-            self.range[lanes] = left
-            lanes = lanes[left < _U(1 << 48)]
-
-    def blocks(self) -> list[bytes]:
-        every = np.arange(len(self.at))
-        for _ in range(4):
-            self._out(every)
-        return [w[:k].astype("<u2").tobytes() for w, k in zip(self.words, self.at.tolist(), strict=True)]
-
-
-class Reader:
-    """One range decoder a lane."""
-
-    def __init__(self, blocks: list[bytes]):
-        most = max(map(len, blocks)) // 2 + 8
-        self.words = np.zeros((len(blocks), most), "u2")
-        for row, b in zip(self.words, blocks, strict=True):
-            row[: len(b) // 2] = np.frombuffer(b, "<u2")
-        self.code = np.zeros(len(blocks), "u8")
-        for k in range(4):
-            self.code = (self.code << _U(16)) | self.words[:, k]
-        self.at = np.full(len(blocks), 4)
-        self.range = np.full(len(blocks), ~_U(0))
-
-    def target(self, n: int, bits: int) -> np.ndarray:
-        return np.minimum(self.code[:n] // (self.range[:n] >> _U(bits)), _U((1 << bits) - 1))
-
-    def take(self, n: int, cum: np.ndarray, freq: np.ndarray, bits: int) -> None:
-        r = self.range[:n] >> _U(bits)
-        self.code[:n] -= r * cum
-        self.range[:n] = r * freq
-        lanes = np.flatnonzero(self.range[:n] < _U(1 << 48))
-        while len(lanes):
-            at = self.at[lanes]
-            self.code[lanes] = (self.code[lanes] << _U(16)) | self.words[lanes, np.minimum(at, self.words.shape[1] - 1)]
-            self.at[lanes] = at + 1
-            left = self.range[lanes] << _U(16)
-            self.range[lanes] = left
-            lanes = lanes[left < _U(1 << 48)]
+_RANGE_BITS = _U(48)
+_LEAST = _U(1 << 48)
 
 
 class Order0:
-    """Frequencies of a segment: of groups of ids, and of the ids in each group."""
+    """The segment's distribution of ids: class and frequencies in it, from the ids' counts."""
 
     def __init__(self, counts: np.ndarray):
-        size = 1 << _GROUP
-        groups = -(-len(counts) // size)
-        by = np.zeros((groups, size), "i8")
-        by.reshape(-1)[: len(counts)] = counts
-        total = np.maximum(by.sum(axis=1, keepdims=True), 1)
-        used = by > 0
-        freq = np.where(used, np.maximum(by * (_ONE - size) // total, 1), 0)
-        top = freq.argmax(axis=1)
-        freq[np.arange(groups), top] += np.where(used.any(axis=1), _ONE - freq.sum(axis=1), 0)
-        self.set(freq, 1 + by.sum(axis=1) * 1024 // max(int(by.sum()), 1))
-
-    def set(self, freq: np.ndarray, start: np.ndarray) -> None:
-        self.freq, self.start, self.groups = freq, start.astype("i4"), len(start)
-        self.flat_freq = freq.reshape(-1).astype("u8")
-        self.flat_cum = (np.cumsum(freq, axis=1) - freq).reshape(-1).astype("u8")
-        scaled = (freq * start[:, None]).reshape(-1)
-        self.kind = np.frombuffer(bytes(min(int(v).bit_length() // 2, 15) for v in scaled.tolist()), "u1").astype("i4")
+        self.counts = counts = np.asarray(counts, "i8")
+        by = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
+        mass = np.cumsum(counts[by]) - counts[by]
+        of = mass * _CLASSES // max(int(counts.sum()), 1)
+        _, of = np.unique(of, return_inverse=True)  # a class that a frequent id jumps over does not exist
+        self.classes = max(int(of.max(initial=0)) + 1, 1)
+        self.class_of = np.zeros(len(counts) + 1, np.intp)
+        self.class_of[by + 1] = of
+        self.start = np.zeros(self.classes, "i8")  # classes' counts that every block starts from
+        #: For each id, cumulative frequency and frequency in its class; for each class and target, the id after.
+        self.packed = np.zeros(len(counts) + 1, "u8")
+        self.places = np.ones(self.classes * _FULL, "u2" if len(counts) < _FULL else "u4")
+        for k in range(self.classes):
+            ids = by[of == k]
+            if not len(ids):
+                continue
+            total = int(counts[ids].sum())
+            freq = np.maximum(counts[ids] * (_FULL - len(ids)) // total, 1)
+            freq[0] += _FULL - int(freq.sum())
+            self.start[k] = total * 256 // max(int(counts.sum()), 1)
+            self.packed[ids + 1] = (np.cumsum(freq) - freq) << 32 | freq
+            self.places[k * _FULL : (k + 1) * _FULL] = np.repeat(ids + 1, freq)
+        self.start += 1
 
     def to_bytes(self) -> bytes:
-        return zlib.compress(self.start.astype("<u4").tobytes() + self.freq.astype("<u4").tobytes(), 1)
+        return zlib.compress(self.counts.astype("<u4").tobytes(), 1)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> Order0:
-        values = np.frombuffer(zlib.decompress(data), "<u4").astype("i8")
-        groups = len(values) // ((1 << _GROUP) + 1)
-        out = cls.__new__(cls)
-        out.set(values[groups:].reshape(groups, 1 << _GROUP), values[:groups])
-        return out
-
-    def places(self) -> np.ndarray:
-        """For each group and target of 16 bits, the place in the group."""
-        out = np.zeros((self.groups, _ONE), "u2")
-        for g, f in enumerate(self.freq):
-            if f.any():
-                out[g] = np.repeat(np.arange(1 << _GROUP, dtype="u2"), f)
-        return out.reshape(-1)
-
-
-def _run(coder, prior: Order0, lanes: int, lengths: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-    """Codes ids (step, lane), or decodes them if None. Lanes are sorted by falling length."""
-    steps, groups, reading = int(lengths[0]) if lanes else 0, prior.groups, ids is None
-    out = np.zeros((steps, lanes), np.intp) if reading else ids
-    active = np.searchsorted(-lengths, -np.arange(steps), "left")
-    lane = np.arange(lanes)
-    table1, table2 = np.zeros(lanes << _S1, "i4"), np.zeros(lanes << _S2, "i4")
-    at1, at2, at128, at16, at_group, at_cum = lane << _S1, lane << _S2, lane << 7, lane << 4, lane * groups, lane * (groups + 1)
-    first = np.full(lanes << 7, 1 << 13, "i4")  # chances that the first candidate holds, by orders 2 and 1
-    zeroth = np.full(lanes << 4, 1 << 12, "i4")  # and by order 0
-    weight = np.full(lanes, 3000, "i4")  # of 4096
-    counts = np.tile(prior.start, (lanes, 1))
-    flat_counts = counts.reshape(-1)
-    cum = np.zeros((lanes, groups + 1), "i4")
-    flat_cum = cum.reshape(-1)
-    ramp = np.arange(1, groups + 1)
-    places = prior.places() if reading else None
-    last, before = np.zeros(lanes, np.intp), np.zeros(lanes, np.intp)
-    coded: list[np.ndarray] = []
-    mask1, mask2 = (1 << _S1) - 1, (1 << _S2) - 1
-
-    for t in range(steps):
-        n = int(active[t])
-        if t % _REFRESH == 0:
-            if t:  # what the steps since then have coded by groups
-                np.add.at(flat_counts, np.concatenate(coded), _STEP)
-                coded = []
-            total = counts.sum(axis=1, keepdims=True, dtype="i8")
-            if int(total.max()) > 60000:
-                counts -= counts >> 1
-                total = counts.sum(axis=1, keepdims=True, dtype="i8")
-            cum[:, 1:] = np.cumsum(counts, axis=1, dtype="i8") * (_ONE - groups) // total + ramp
-        if n < len(lane):  # the last block is shorter
-            lane, at1, at2, at128, at16, at_group, at_cum = (x[:n] for x in (lane, at1, at2, at128, at16, at_group, at_cum))
-            last, before, weight = last[:n], before[:n], weight[:n]
-        i1 = at1 + ((last * 20011 >> 5) & mask1)
-        i2 = at2 + ((last * 20011 + before * 12007 >> 4) & mask2)
-        e1, e2 = table1[i1], table2[i2]
-        c1, n1, c2, n2 = e1 >> 3, e1 & 7, e2 >> 3, e2 & 7
-        has2, differ = n2 > 0, c1 != c2
-        candidate = np.where(has2, c2, c1).astype(np.intp)
-        k = at128 + ((n2 << 4) + (n1 << 1) + differ)
-        z = at16 + prior.kind[candidate]
-        by21, by0, rest = first[k], zeroth[z], first[at128 + (n1 << 1) + 1]
-        p = (by21 * weight + by0 * (4096 - weight)) >> 12
-        p *= (n1 | n2) > 0
-        q = ((32768 - p) * rest >> 15) * (has2 & differ & (n1 > 0))
-        pq = p + q
-        if reading:
-            v = coder.target(n, 15).astype("i4")
-            hit, known = v < p, v < pq
-        else:
-            x = out[t, :n]
-            hit = (x == candidate) & (p > 0)
-            known = hit | ((x == c1) & (q > 0))
-        start = np.where(hit, 0, np.where(known, p, pq))
-        size = np.where(hit, p, np.where(known, q, 32768 - pq))
-        (coder.take if reading else coder.put)(n, start.astype("u8"), size.astype("u8"), 15)
-
-        if reading:
-            v = coder.target(n, 32)
-            group = (cum[:n, 1:] <= (v >> _U(16)).astype("i4")[:, None]).sum(axis=1)
-        else:
-            group = x >> _GROUP
-        g = at_cum + group
-        start = flat_cum[g]
-        size = (flat_cum[g + 1] - start).astype("u8")
-        start = start.astype("u8") << _U(16)
-        if reading:
-            place = np.minimum((v - start) // size, _U(_ONE - 1)).astype(np.intp)
-            place = places[np.where(known, 0, (group << 16) + place)].astype(np.intp)
-            x = np.where(hit, candidate, np.where(known, c1, (group << _GROUP) + place))
-            out[t, :n] = x
-        start = np.where(known, _U(0), start + size * prior.flat_cum[x])
-        size = np.where(known, _U(1 << 32), size * prior.flat_freq[x])
-        (coder.take if reading else coder.put)(n, start, size, 32)
-
-        to = np.where(hit, _HIGH, _LOW)
-        first[k] = by21 + ((to - by21) >> 5)
-        zeroth[z] = by0 + ((to - by0) >> 5)
-        weight = np.minimum(np.maximum(weight + ((to - p >> 6) * (by21 - by0 >> 6) >> 10), 256), 3840)
-        coded.append((at_group + (x >> _GROUP))[~known])
-        fresh = (x << 3) + 1
-        table1[i1] = np.where(c1 == x, e1 + (n1 < 7), np.where(n1 > 1, e1 - 1, fresh))
-        table2[i2] = np.where(c2 == x, e2 + (n2 < 7), np.where(n2 > 1, e2 - 1, fresh))
-        last, before = x, last
-    return out
+        return cls(np.frombuffer(zlib.decompress(data), "<u4"))
+
+
+class Mixer:
+    """What the lanes' blocks have learned: weights by state and frequencies of classes."""
+
+    def __init__(self, prior: Order0, lanes: int):
+        self.prior, self.lanes = prior, lanes
+        self.seen = np.zeros((lanes, 3, _STATES), "i4")  # outcomes: order 0, first candidate, second
+        self.of_class = np.tile(prior.start.astype("i4"), (lanes, 1))
+        self.base_state = np.arange(lanes) * (_STATES * 3)
+        self.base_class = np.arange(lanes) * prior.classes
+        # Before anything is seen: how often candidates hold after each number of foretold ids, in 64ths.
+        foretold = np.array([bin(k).count("1") for k in range(8)])
+        first = np.array([2, 8, 32, 58])[foretold][:, None] * np.array([0, 1, 1, 1])
+        second = np.minimum(np.array([1, 2, 4, 2])[foretold], 64 - first.max(axis=1) - 1)[:, None] * np.array([0, 0, 0, 1])
+        self.start = np.stack([64 - first - second, first, second]).reshape(3, _STATES).astype("i4")
+        self.refresh()
+
+    def learn(self, outcomes: np.ndarray, classes: np.ndarray, missed: np.ndarray) -> None:
+        """outcomes: 32 * outcome + state of each step and lane; classes of ids that order 0 coded."""
+        found = np.bincount((outcomes + self.base_state).reshape(-1), minlength=self.lanes * _STATES * 3)
+        self.seen += found.reshape(self.seen.shape).astype("i4")
+        found = np.bincount((classes + self.base_class)[missed], minlength=self.lanes * self.prior.classes)
+        self.of_class += 24 * found.reshape(self.lanes, -1).astype("i4")
+        self.refresh()
+
+    def refresh(self) -> None:
+        n = 16 * self.seen + self.start  # what holds before counts as four ids of each state
+        one, both = n[:, 1], n[:, 1] + n[:, 2]
+        total = both + n[:, 0]
+        first, both = one * _MOST // total, both * _MOST // total
+        first[:, ::4] = both[:, ::4] = 0  # nothing speaks
+        self.weights = (both << 16 | first).astype("u4").reshape(-1)
+        cum = np.cumsum(self.of_class, axis=1)
+        k = self.prior.classes
+        ends = cum * (_SPAN - k) // cum[:, -1:] + np.arange(1, k + 1)
+        self.sizes = np.diff(ends, axis=1, prepend=0)
+        self.spans = ((ends - self.sizes).astype("u8") << _U(16) | self.sizes.astype("u8")).reshape(-1)
+
+    def class_at(self) -> np.ndarray:
+        """For each lane and target of 8 bits, the class."""
+        return np.repeat(np.tile(np.arange(self.prior.classes, dtype="u1"), self.lanes), self.sizes.reshape(-1))
+
+
+class Contexts:
+    """Order 1 and 2 tables of the lanes, of ids plus one; 0 is none."""
+
+    def __init__(self, lanes: int, kind: str):
+        self.one, self.two = np.zeros(lanes << _S1, kind), np.zeros(lanes << _S2, kind)
+        self.base1, self.base2 = np.arange(lanes) << _S1, np.arange(lanes) << _S2
+        self.i1, self.i2 = np.zeros(lanes, np.intp), np.zeros(lanes, np.intp)
+        self.hash, self.before = np.zeros(lanes, "i8"), np.zeros(lanes, "i8")
+        self.c1, self.c2 = np.zeros(lanes, kind), np.zeros(lanes, kind)  # candidates; c2 is the first to be tried
+        self.has1, self.has2, self.differ = (np.zeros(lanes, bool) for _ in range(3))
+        self.history, self.state = np.zeros(lanes, "u1"), np.zeros(lanes, "u1")
+
+    def look_up(self, last: np.ndarray) -> None:
+        """The candidates after ``last`` and the state that they make."""
+        self.hash, self.before = self.before, self.hash
+        np.multiply(last, 40503, out=self.hash, dtype="i8", casting="unsafe")
+        np.right_shift(self.hash, 5, out=self.i1)
+        self.i1 &= (1 << _S1) - 1
+        self.i1 += self.base1
+        np.right_shift(self.before, 3, out=self.i2)
+        self.i2 ^= self.hash
+        self.i2 >>= 4
+        self.i2 &= (1 << _S2) - 1
+        self.i2 += self.base2
+        self.one.take(self.i1, out=self.c1, mode="clip")
+        self.two.take(self.i2, out=self.c2, mode="clip")
+        np.greater(self.c1, 0, out=self.has1)
+        np.greater(self.c2, 0, out=self.has2)
+        np.not_equal(self.c1, self.c2, out=self.differ)
+        self.differ &= self.has2
+        np.left_shift(self.history, 2, out=self.state)
+        self.state += self.has1.view("u1")
+        self.state += self.has2.view("u1")
+        self.state += self.differ.view("u1")
+        np.logical_not(self.has2, out=self.has2)
+        np.copyto(self.c2, self.c1, where=self.has2)
+
+    def update(self, now: np.ndarray, known: np.ndarray) -> None:
+        self.one[self.i1] = now
+        self.two[self.i2] = now
+        self.history <<= 1
+        self.history |= known.view("u1")
+        self.history &= 7
+
+
+def _encode_lanes(prior: Order0, ids: np.ndarray) -> list[bytes]:
+    """Blocks of ids (step, lane)."""
+    steps, n = ids.shape
+    after = ids.astype(prior.places.dtype) + prior.places.dtype.type(1)
+    mixer, contexts = Mixer(prior, n), Contexts(n, prior.places.dtype.str)
+    low, rng = np.zeros(n, "u8"), np.full(n, ~_U(0))
+    room = steps // 2 + 4 * REFRESH
+    words = np.zeros((n, room), "u4")  # of 16 bits, and carries not yet passed on
+    flat, at = words.reshape(-1), np.arange(n) * room
+    sums = lambda: np.zeros(n, "u8")
+    p, pq, b, add, shift = (sums() for _ in range(5))
+    w = np.zeros(n, "u4")
+    state, need, over = np.zeros(n, np.intp), np.zeros(n, bool), np.zeros(n, bool)
+    state_base = np.arange(n) * _STATES
+    last = np.zeros(n, after.dtype)
+    for t0 in range(0, steps, REFRESH):
+        some = after[t0 : t0 + REFRESH]
+        m = len(some)
+        if t0:
+            mixer.learn(outcomes, classes, missed)
+        if int((at - np.arange(n) * room).max()) + 4 * REFRESH > room:
+            words = np.pad(words, ((0, 0), (0, room)))
+            at += np.arange(n) * room
+            room *= 2
+            flat = words.reshape(-1)
+        classes = prior.class_of[some]
+        spans, inside = mixer.spans[classes + mixer.base_class], prior.packed[some]
+        size = spans & _U(0xFFFF)
+        starts = (spans >> _U(16) << _U(16)) + size * (inside >> _U(32))
+        size *= inside & _U(0xFFFFFFFF)
+        outcomes, missed = np.zeros((m, n), "u1"), np.zeros((m, n), bool)
+        hits, knowns = np.zeros((m, n), bool), np.zeros((m, n), bool)
+        for k in range(m):
+            now, hit, known = some[k], hits[k], knowns[k]
+            contexts.look_up(last)
+            np.equal(now, contexts.c2, out=hit)
+            np.equal(now, contexts.c1, out=known)
+            known |= hit
+            np.add(state_base, contexts.state, out=state)
+            mixer.weights.take(state, out=w, mode="clip")
+            np.bitwise_and(w, 0xFFFF, out=p)
+            np.right_shift(w, 16, out=pq)
+            np.right_shift(rng, _U(15), out=b)
+            p *= b
+            pq *= b
+            rng -= pq  # what order 0 gets, unless a candidate holds
+            rng >>= _U(24)
+            np.multiply(rng, starts[k], out=add)
+            add += pq
+            rng *= size[k]
+            pq -= p
+            np.copyto(add, p, where=known)
+            np.copyto(rng, pq, where=known)
+            np.copyto(add, _U(0), where=hit)
+            np.copyto(rng, p, where=hit)
+            low += add
+            np.less(low, add, out=over)
+            np.less(rng, _LEAST, out=need)
+            carried = np.flatnonzero(over)
+            if len(carried):
+                flat[at[carried] - 1] += 1
+            # Every lane writes its highest word; it stays only where the range has shrunk.
+            np.right_shift(low, _RANGE_BITS, out=add)
+            flat[at] = add
+            at += need
+            np.multiply(need, _U(16), out=shift, dtype="u8", casting="unsafe")
+            low <<= shift
+            rng <<= shift
+            np.less(rng, _LEAST, out=need)
+            left = np.flatnonzero(need)
+            while len(left):
+                flat[at[left]] = low[left] >> _RANGE_BITS
+                at[left] += 1
+                low[left] <<= _U(16)
+                rng[left] <<= _U(16)
+                left = left[rng[left] < _LEAST]
+            contexts.update(now, known)
+            outcomes[k] = contexts.state
+            last = now
+        # 1 for the first candidate, 2 for the second
+        outcomes += (64 * knowns.view("u1")) - (32 * hits.view("u1"))
+        np.logical_not(knowns, out=missed)
+    for _ in range(4):
+        flat[at] = low >> _RANGE_BITS
+        low <<= _U(16)
+        at += 1
+    used = at - np.arange(n) * room
+    while len(over := np.flatnonzero(flat > 0xFFFF)):
+        flat[over] -= 1 << 16
+        flat[over - 1] += 1
+    short = words.astype("<u2")
+    return [row[:k].tobytes() for row, k in zip(short, used.tolist(), strict=True)]
+
+
+def _decode_lanes(prior: Order0, blocks: list[bytes], steps: int) -> np.ndarray:
+    """Ids (step, lane) of blocks."""
+    n = len(blocks)
+    mixer, contexts = Mixer(prior, n), Contexts(n, prior.places.dtype.str)
+    room = max(map(len, blocks)) // 2 + 8
+    words = np.zeros((n, room), "u2")
+    for row, data in zip(words, blocks, strict=True):
+        row[: len(data) // 2] = np.frombuffer(data, "<u2")
+    flat, at = words.reshape(-1), np.arange(n) * room + 4
+    code, rng = np.zeros(n, "u8"), np.full(n, ~_U(0))
+    for k in range(4):
+        code = (code << _U(16)) | words[:, k]
+    sums = lambda: np.zeros(n, "u8")
+    p, pq, b, other, u, span, size, shift, word64 = (sums() for _ in range(9))
+    w = np.zeros(n, "u4")
+    place, inside, word = np.zeros(n, np.intp), sums(), np.zeros(n, "u2")
+    cls, need, left_over = np.zeros(n, "u1"), np.zeros(n, bool), np.zeros(n, bool)
+    state, state_base, at256 = np.zeros(n, np.intp), np.arange(n) * _STATES, np.arange(n) * _SPAN
+    out = np.zeros((steps, n), prior.places.dtype)
+    last = np.zeros(n, out.dtype)
+    for t0 in range(0, steps, REFRESH):
+        if t0:
+            mixer.learn(outcomes, classes, missed)
+        class_at = mixer.class_at()
+        m = min(REFRESH, steps - t0)
+        outcomes, classes = np.zeros((m, n), "u1"), np.zeros((m, n), "u1")
+        hits, knowns = np.zeros((m, n), bool), np.zeros((m, n), bool)
+        for k in range(m):
+            now, hit, known = out[t0 + k], hits[k], knowns[k]
+            contexts.look_up(last)
+            np.add(state_base, contexts.state, out=state)
+            mixer.weights.take(state, out=w, mode="clip")
+            np.bitwise_and(w, 0xFFFF, out=p)
+            np.right_shift(w, 16, out=pq)
+            np.right_shift(rng, _U(15), out=b)
+            p *= b
+            pq *= b
+            np.less(code, p, out=hit)
+            np.less(code, pq, out=known)
+            # Order 0, for all lanes; those that a candidate holds for are set right below.
+            np.subtract(code, pq, out=other)
+            rng -= pq
+            rng >>= _U(24)
+            np.floor_divide(other, rng, out=u)
+            np.minimum(u, _U((1 << 24) - 1), out=u)
+            np.right_shift(u, _U(16), out=span)
+            np.add(at256, span.view("i8"), out=place)
+            cls = classes[k]
+            class_at.take(place, out=cls, mode="clip")
+            np.add(mixer.base_class, cls, out=place)
+            mixer.spans.take(place, out=span, mode="clip")
+            np.bitwise_and(span, _U(0xFFFF), out=size)
+            span ^= size  # the class's start, times 65536
+            u -= span
+            np.floor_divide(u, size, out=u)
+            np.left_shift(cls, 16, out=place, dtype=np.intp, casting="unsafe")
+            place += u.view("i8")
+            prior.places.take(place, out=now, mode="clip")
+            prior.packed.take(now, out=inside, mode="clip")
+            np.right_shift(inside, _U(32), out=u)
+            inside &= _U(0xFFFFFFFF)
+            u *= size
+            u += span
+            u *= rng
+            other -= u
+            rng *= size
+            rng *= inside
+            pq -= p
+            np.copyto(now, contexts.c1, where=known)
+            np.copyto(now, contexts.c2, where=hit)
+            np.copyto(rng, pq, where=known)
+            np.copyto(rng, p, where=hit)
+            np.subtract(code, p, out=p)
+            np.copyto(other, p, where=known)
+            np.copyto(other, code, where=hit)
+            code, other = other, code
+            np.less(rng, _LEAST, out=need)
+            np.multiply(need, _U(16), out=shift, dtype="u8", casting="unsafe")
+            flat.take(at, out=word, mode="clip")
+            np.multiply(word, need, out=word64, dtype="u8", casting="unsafe")
+            at += need
+            rng <<= shift
+            code <<= shift
+            code |= word64
+            np.less(rng, _LEAST, out=need)
+            left = np.flatnonzero(need)
+            while len(left):
+                code[left] = code[left] << _U(16) | flat.take(at[left], mode="clip")
+                at[left] += 1
+                rng[left] <<= _U(16)
+                left = left[rng[left] < _LEAST]
+            contexts.update(now, known)
+            outcomes[k] = contexts.state
+            last = now
+        outcomes += (64 * knowns.view("u1")) - (32 * hits.view("u1"))
+        missed = np.logical_not(knowns)
+    return out - out.dtype.type(1)
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """A segment: header, order-0 frequencies, block index, blocks."""
-    ids = np.asarray(ids, np.intp)
+    """A segment: header, counts of ids, block index, blocks. The last block is filled up with id 0."""
+    ids = np.asarray(ids)
     lanes = -(-len(ids) // block)
-    lengths = np.full(lanes, block)
-    if lanes:
-        lengths[-1] = len(ids) - block * (lanes - 1)
-    prior = Order0(np.bincount(ids, minlength=1))
-    padded = np.zeros(lanes * block, np.intp)
+    steps = block if lanes > 1 else len(ids)
+    prior = Order0(np.bincount(ids, minlength=1) + (np.arange(max(int(ids.max(initial=0)) + 1, 1)) == 0))
+    padded = np.zeros(lanes * steps, ids.dtype)
     padded[: len(ids)] = ids
+    padded = padded.reshape(lanes, -1) if lanes else padded
     parts, sums = [], []
     for at in range(0, lanes, LANES):
-        mine = lengths[at : at + LANES]
-        some = padded[at * block : (at + len(mine)) * block].reshape(-1, block)
-        coder = Writer(len(mine), block)
-        _run(coder, prior, len(mine), mine, np.ascontiguousarray(some.T[: int(mine[0])]))
-        parts += coder.blocks()
-        sums += [zlib.crc32(x[:k].astype("<u4").tobytes()) for x, k in zip(some, mine.tolist(), strict=True)]
+        some = padded[at : at + LANES]
+        parts += _encode_lanes(prior, np.ascontiguousarray(some.T))
+        sums += [zlib.crc32(x) for x in some.astype("<u4")]
     table = prior.to_bytes()
     index = np.array([[len(p) for p in parts], sums], "<u4").T.tobytes() if parts else b""
-    head = struct.pack("<4sQIII", MAGIC, len(ids), block, lanes, len(table))
+    head = struct.pack("<4sQIII", MAGIC, len(ids), steps, lanes, len(table))
     return head + table + index + b"".join(parts)
 
 
 def decode(data: bytes) -> np.ndarray:
     """The ids of a segment; raises ValueError if a block's checksum differs."""
-    magic, total, block, lanes, size = struct.unpack_from("<4sQIII", data)
+    magic, total, steps, lanes, size = struct.unpack_from("<4sQIII", data)
     if magic != MAGIC:
         raise ValueError("not a segment of token ids")
     at = struct.calcsize("<4sQIII")
@@ -274,17 +385,12 @@ def decode(data: bytes) -> np.ndarray:
     at += size
     index = np.frombuffer(data, "<u4", 2 * lanes, at).reshape(-1, 2)
     ends = at + 8 * lanes + np.cumsum(index[:, 0], dtype="i8")
-    lengths = np.full(lanes, block)
-    if lanes:
-        lengths[-1] = total - block * (lanes - 1)
-    out = np.zeros(lanes * block, np.intp)
+    out = np.zeros((lanes, steps), "<u4")
     for first in range(0, lanes, LANES):
-        mine = lengths[first : first + LANES]
         blocks = [data[e - int(k) : e] for e, (k, _) in zip(ends[first : first + LANES].tolist(), index[first:], strict=False)]
-        got = _run(Reader(blocks), prior, len(mine), mine, None)
-        part = out[first * block : (first + len(mine)) * block].reshape(-1, block)
-        part[:, : len(got)] = got.T
-        for k, (x, length, crc) in enumerate(zip(part, mine.tolist(), index[first:, 1].tolist(), strict=False)):
-            if zlib.crc32(x[:length].astype("<u4").tobytes()) != crc:
+        part = out[first : first + LANES]
+        part[:] = _decode_lanes(prior, blocks, steps).T
+        for k, (x, crc) in enumerate(zip(part, index[first:, 1].tolist(), strict=False)):
+            if zlib.crc32(x) != crc:
                 raise ValueError(f"block {first + k} is damaged")
-    return out[:total].astype("<u4")
+    return out.reshape(-1)[:total]

@@ -1,160 +1,167 @@
 """Token-id files: documents' ids in ascending doc_id order, coded in blocks.
 
 Documents are dealt to tasks by range of doc_id and sorted there; a task codes
-its ids segment by segment (see ``range_coder``) and writes each segment as a
-file of its own to the shared folder. A file's name holds the attempt that
-wrote it, and only the manifest, written once, says which files count: a task
-that is run again after an executor is lost leaves an orphan, not a double.
-Reading takes the manifest's files, checks every block's checksum and needs the
-files only.
+its ids segment by segment (see ``range_coder``) and Spark's text sink writes the
+segments' bytes as they are, one file a task. So files go through Hadoop's file
+systems and Spark's commit: a task that is run again after an executor is lost
+leaves no second file. Reading needs the files only and checks every block's
+checksum.
 
-A file is: magic, number of documents, doc_ids with a null flag, lengths,
-segment of ids. Rows that share a doc_id are in order of their texts; null
-doc_ids come first.
+A file is segments, each followed by a line's end. A segment is: magic, numbers
+of bytes, documents and ids, doc_ids with a null flag, lengths, coded ids. Files
+are in order of their part numbers. Rows that share a doc_id are in order of
+their texts; null doc_ids come first.
 
 Defined results: a null text counts as empty, so it is the end id alone; an
-empty table gives no files and an empty result; further columns are ignored.
+empty table gives files without segments and an empty result; further columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import range_coder
-from lodestone.llm.common import scratch_path, text_bytes, written
+from lodestone.llm.common import scratch_path, written
 from lodestone.llm.wordids import crc_of, vocabulary, word_ids
 
 END_ID = 1
-MAGIC = b"LTF1"
+MAGIC = b"LTF2"
+_HEAD = "<4sQQQ"
 #: Ids after which a segment is closed, at a document's end.
-SEGMENT = range_coder.LANES * range_coder.BLOCK
+SEGMENT = 1 << 23
 #: Parts whose sizes are summed as one before offsets are added up over all.
 GROUPED = 1024
-
-MANIFEST = "file string, part long, segment long, n_docs long, n_ids long, n_bytes long"
-
-
-def _open(uri: str):
-    from pyarrow import fs
-
-    if "://" not in uri and not uri.startswith("file:"):
-        uri = f"file://{uri}"
-    return fs.FileSystem.from_uri(uri)
-
-
-def write_file(uri: str, data: bytes) -> None:
-    where, path = _open(uri)
-    where.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    with where.open_output_stream(path) as out:
-        out.write(data)
-
-
-def read_file(uri: str) -> bytes:
-    where, path = _open(uri)
-    with where.open_input_stream(path) as f:
-        return f.read()
+#: Most files whose offsets are broadcast.
+BROADCAST_FILES = 100_000
 
 
 def pack_segment(docs: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
     null = np.array([d is None for d in docs], "u1")
     keys = np.array([d or 0 for d in docs], "<i8")
-    head = struct.pack("<4sQ", MAGIC, len(docs))
-    return head + null.tobytes() + keys.tobytes() + np.array(lengths, "<u8").tobytes() + range_coder.encode(ids)
-
-
-def unpack_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    magic, n = struct.unpack_from("<4sQ", data)
-    if magic != MAGIC:
-        raise ValueError("not a file of token ids")
-    at = struct.calcsize("<4sQ")
-    null = np.frombuffer(data, "u1", n, at)
-    keys = np.frombuffer(data, "<i8", n, at + n)
-    lengths = np.frombuffer(data, "<u8", n, at + 9 * n).astype("i8")
+    body = null.tobytes() + keys.tobytes() + np.array(lengths, "<u8").tobytes() + range_coder.encode(ids)
+    return struct.pack(_HEAD, MAGIC, len(body), len(docs), len(ids)) + body
+
+
+def segments(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(documents, ids, body) of each segment of a file."""
+    at, head = 0, struct.calcsize(_HEAD)
+    while at < len(data):
+        magic, size, docs, ids = struct.unpack_from(_HEAD, data, at)
+        if magic != MAGIC or at + head + size >= len(data):
+            raise ValueError("not a file of token ids")
+        yield docs, ids, data[at + head : at + head + size]
+        at += head + size + 1
+
+
+def unpack_segment(n: int, body: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+    """doc_ids, lengths and ids of a segment of n documents."""
+    null = np.frombuffer(body, "u1", n)
+    keys = np.frombuffer(body, "<i8", n, n)
+    lengths = np.frombuffer(body, "<u8", n, 9 * n).astype("i8")
     docs = [None if e else k for e, k in zip(null.tolist(), keys.tolist(), strict=True)]
-    return docs, lengths, range_coder.decode(data[at + 17 * n :])
+    return docs, lengths, range_coder.decode(body[17 * n :])
 
 
-def write_tokens(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """Writes the ids of ``docs`` (doc_id, text) under ``path``; returns the manifest."""
+def write_tokens(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int = END_ID) -> str:
+    """Writes the ids of ``docs`` (doc_id, text) to files in the folder ``path``; returns it."""
     path = path or scratch_path(docs.sparkSession, "tokens")
     vocabulary_path = tokenizer or vocabulary()
 
     def run(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        encode, task = word_ids(vocabulary_path).ids, TaskContext.get()
-        part, segment = task.partitionId(), 0
-        keys, lengths, parts, total = [], [], [], 0
+        each = word_ids(vocabulary_path).each
+        keys, parts, total = [], [], 0
 
-        def close():
-            ids = np.concatenate(parts)
-            data = pack_segment(keys, lengths, ids)
-            uri = f"{path}/part-{part:06d}-{segment:05d}-{task.taskAttemptId()}.ltf"
-            write_file(uri, data)
-            row = (uri, part, segment, len(keys), len(ids), len(data))
-            return pa.RecordBatch.from_pydict({c.split()[0]: [v] for c, v in zip(MANIFEST.split(", "), row, strict=True)})
+        def closed():
+            data = pack_segment(keys, [len(p) for p in parts], np.concatenate(parts))
+            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["segment"])
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True):
-                ids = np.append(encode(text), np.uint32(end_id)).astype("u2")
+            for doc, ids in zip(b.column(0).to_pylist(), each(b.column(1), end_id), strict=True):
                 keys.append(doc)
-                lengths.append(len(ids))
                 parts.append(ids)
                 total += len(ids)
                 if total >= SEGMENT:
-                    yield close()
-                    keys, lengths, parts, total, segment = [], [], [], 0, segment + 1
+                    yield closed()
+                    keys, parts, total = [], [], 0
         if keys:
-            yield close()
+            yield closed()
 
     spread = docs.select("doc_id", "text").repartitionByRange("doc_id")
-    return written(spread.sortWithinPartitions("doc_id", "text").mapInArrow(run, MANIFEST), "manifest")
+    coded = spread.sortWithinPartitions("doc_id", "text").mapInArrow(run, "segment binary")
+    # The cast keeps bytes as they are, and so does the sink.
+    coded.select(F.col("segment").cast("string")).write.option("lineSep", "\n").option("compression", "none").text(path)
+    return path
 
 
-def with_starts(manifest: DataFrame) -> DataFrame:
-    """The manifest with ``start``: the ids of all files before each."""
-    kept = manifest.withColumn("grp", F.floor(F.col("part") / GROUPED))
-    groups = kept.groupBy("grp").agg(F.sum("n_ids").alias("ids"))
-    before = Window.orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.select("grp", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
-    before = Window.partitionBy("grp").orderBy("part", "segment").rowsBetween(Window.unboundedPreceding, -1)
-    inside = F.coalesce(F.sum("n_ids").over(before), F.lit(0))
-    kept = kept.withColumn("inside", inside).join(groups, "grp")
-    return kept.withColumn("start", F.col("base") + F.col("inside")).drop("grp", "base", "inside")
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(part, content) of the files in a folder."""
+    files = spark.read.format("binaryFile").load(path)
+    part = F.regexp_extract("path", r"part-(\d+)[^/]*$", 1).cast("long")
+    return files.select(part.alias("part"), "content")
 
 
-def _each(manifest: DataFrame, make, schema: str) -> DataFrame:
-    """``make(doc, start, ids)`` for each document of the manifest's files; a file is one task's work."""
-    files = with_starts(manifest).select("file", "start")
+def starts(spark: SparkSession, path: str) -> DataFrame:
+    """(part, start): the ids of all files before each, from the segments' heads."""
 
     def run(batches):
         import pyarrow as pa
 
-        names = [c.split()[0] for c in schema.split(", ")]
-        kinds = [pa.list_(pa.int64()) if "array" in c else pa.int64() for c in schema.split(", ")]
         for b in batches:
-            for uri, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                docs, lengths, ids = unpack_segment(read_file(uri))
-                ends = np.cumsum(lengths).tolist()
-                rows = [make(d, start + e - n, ids[e - n : e]) for d, n, e in zip(docs, lengths.tolist(), ends, strict=True)]
-                for at in range(0, len(rows), 10_000):
-                    columns = zip(*rows[at : at + 10_000], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            n = [sum(ids for _, ids, _ in segments(data)) for data in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["part", "n_ids"])
 
-    return files.repartition(max(1, manifest.count())).mapInArrow(run, schema)
+    sizes = written(_files(spark, path).mapInArrow(run, "part long, n_ids long"), "sizes")
+    sizes = sizes.withColumn("grp", F.floor(F.col("part") / GROUPED))
+    before = Window.orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)  # one row for each GROUPED files
+    groups = sizes.groupBy("grp").agg(F.sum("n_ids").alias("ids"))
+    groups = groups.select("grp", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
+    before = Window.partitionBy("grp").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("n_ids").over(before), F.lit(0))
+    out = sizes.withColumn("inside", inside).join(groups, "grp")
+    return out.select("part", (F.col("base") + F.col("inside")).alias("start"))
 
 
-def read_tokens(manifest: DataFrame) -> DataFrame:
+def _each(spark: SparkSession, path: str, make, columns: str) -> DataFrame:
+    """doc_id, start and ``make(ids)`` for each document of the files; a file is one task's work."""
+    schema = f"part long, doc_id long, inside long, {columns}"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = [pa.list_(pa.int64()) if "array" in c else pa.int64() for c in schema.split(", ")]
+        for b in batches:
+            for part, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                at = 0
+                for n, n_ids, body in segments(data.as_py()):
+                    docs, lengths, ids = unpack_segment(n, body)
+                    ends = np.cumsum(lengths).tolist()
+                    rows = [(part, d, at + e - k, *make(ids[e - k : e])) for d, k, e in zip(docs, lengths.tolist(), ends, strict=True)]
+                    at += n_ids
+                    for k in range(0, len(rows), 10_000):
+                        some = zip(*rows[k : k + 10_000], strict=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(some, kinds, strict=True)], names=names)
+
+    bases = written(starts(spark, path), "starts")
+    if bases.count() <= BROADCAST_FILES:
+        bases = F.broadcast(bases)
+    out = _files(spark, path).mapInArrow(run, schema).join(bases, "part")
+    return out.select("doc_id", (F.col("start") + F.col("inside")).alias("start"), *names[3:])
+
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids) of each document, from the files."""
-    return _each(manifest, lambda d, s, ids: (d, s, ids.tolist()), "doc_id long, start long, ids array<long>")
+    return _each(spark, path, lambda ids: (ids.tolist(),), "ids array<long>")
 
 
-def digest(manifest: DataFrame) -> DataFrame:
+def digest(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the files."""
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    return _each(manifest, lambda d, s, ids: (d, s, len(ids), crc_of(ids)), schema)
+    return _each(spark, path, lambda ids: (len(ids), crc_of(ids)), "n_tokens long, ids_crc32 long")

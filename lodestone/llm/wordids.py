@@ -11,25 +11,31 @@ pipeline.
 
 from __future__ import annotations
 
+import codecs
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
 #: Chunks remembered by one worker process, in each of two generations.
-REMEMBERED = 600_000
+REMEMBERED = 150_000
+#: Distinct words, and their bytes, after which those of chunks of texts are forgotten.
+KNOWN, KNOWN_BYTES = 1_000_000, 32 << 20
 #: Longer chunks are encoded each time.
 LONGEST_KEY = 64
+#: Bytes of texts that are split together, and words whose ids are gathered at once.
+CHUNK, GATHERED = 12 << 20, 1 << 18
 
-_PLAIN = re.compile(rb"([a-z]*)([!-/:-@\[-`{-~]*)")
-_LATIN = re.compile("([a-zß-öø-ÿ]*)([!-/:-@\\[-`{-~]*)")
+#: Lower-case letters of Latin-1 in UTF-8, then punctuation: the normaliser leaves both as they are.
+_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])*+)([!-/:-@\[-`{-~]*)").fullmatch
 
 
-def _byte_chars() -> dict[int, str]:
+def _byte_chars() -> str:
     """The printable stand-in of each byte in byte-level vocabularies."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    hidden = iter(range(256, 512))
+    return "".join(chr(b if b in shown else next(hidden)) for b in range(256))
 
 
 class WordIds(dict):
@@ -42,24 +48,25 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.table = _byte_chars()
+        self.bytes_of = [k.to_bytes(2, "little") for k in range(self.tokenizer.get_vocab_size())]
         self.remembered = remembered
         self.older: dict[bytes, bytes] = {}
+        self.known = None  # distinct words of chunks of texts, with their ids in ``flat``
 
-    def _piece(self, word: str) -> bytes:
-        return b"".join([t.id.to_bytes(2, "little") for t in self.model.tokenize(word)])
+    def _piece(self, word: bytes) -> bytes:
+        of = self.bytes_of
+        return b"".join([of[t.id] for t in self.tokenize(codecs.charmap_decode(word, "strict", self.table)[0])])
 
     def _encode(self, chunk: bytes) -> bytes:
-        if m := _PLAIN.fullmatch(chunk):
+        if m := _PLAIN(chunk):
             word, marks = m.groups()
             if not marks:
-                return self._piece(chunk.decode())
+                return self._piece(chunk)
             # The word may be known without its marks, and the marks recur.
-            known = self.get(word) or self.older.get(word) or (self._piece(word.decode()) if word else b"")
-            return known + (self.get(marks) or self._piece(marks.decode()))
-        if m := _LATIN.fullmatch(chunk.decode()):
-            return b"".join(self._piece(part.encode().decode("latin-1").translate(self.table)) for part in m.groups() if part)
+            known = self.get(word) or self.older.get(word) or (self._piece(word) if word else b"")
+            return known + (self.get(marks) or self._piece(marks))
         ids = self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
         return np.array(ids, "<u2").tobytes()
 
@@ -80,6 +87,70 @@ class WordIds(dict):
             text = text.lower()
         return np.frombuffer(b"".join(map(self.__getitem__, text.split())), "<u2").astype("<u4")
 
+    def each(self, texts, end_id: int) -> Iterator[np.ndarray]:
+        """The ids of each text of an Arrow string column, with an end id; null counts as empty.
+
+        Texts are split together and each distinct word of about ``CHUNK`` bytes is
+        looked up once; the ids then are gathered by the words' numbers.
+        """
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHUNK, "right")))
+            yield from self._chunk(texts.slice(at, end - at), end_id)
+            at = end
+
+    def _numbers(self, words) -> np.ndarray:
+        """The number of each of some distinct words (an Arrow array) among those with ``first`` and ``sizes``."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if self.known is None or len(self.known) > KNOWN or self.known.nbytes > KNOWN_BYTES:
+            self.known, self.flat = words.slice(0, 0), np.zeros(0, "<u2")
+            self.first = self.sizes = np.zeros(0, np.int32)
+        at = pc.index_in(words, value_set=self.known)
+        fresh = words.filter(pc.is_null(at))
+        found = list(map(self.__getitem__, fresh.cast(pa.large_binary()).to_pylist()))
+        sizes = np.fromiter(map(len, found), np.int32, len(found)) >> 1
+        out = pc.fill_null(at, -1).to_numpy().copy()
+        out[out < 0] = len(self.known) + np.arange(len(found), dtype=np.int32)
+        self.first = np.append(self.first, (len(self.flat) + np.cumsum(sizes) - sizes).astype(np.int32))
+        self.sizes = np.append(self.sizes, sizes)
+        self.flat = np.append(self.flat, np.frombuffer(b"".join(found), "<u2"))
+        self.known = pa.concat_arrays([self.known, fresh])
+        return out
+
+    def _chunk(self, texts, end_id: int) -> Iterator[np.ndarray]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        special = pc.match_substring(texts, "<|")
+        words = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(special, "", texts)))
+        ends = words.offsets.to_numpy()[1:] - words.offsets[0].as_py()
+        coded = words.flatten().dictionary_encode()
+        number = self._numbers(coded.dictionary)
+        first, sizes = self.first, self.sizes
+        flat = np.append(self.flat, np.uint16(end_id))
+        words = number[coded.indices.to_numpy()]
+        first, sizes = np.append(first, np.int32(len(flat) - 1)), np.append(sizes, np.int32(1))
+        every = np.insert(words, ends, np.int32(len(sizes) - 1))  # the end id after each text's words
+        parts = []
+        for at in range(0, len(every), GATHERED):
+            some = every[at : at + GATHERED]
+            size = sizes[some]
+            before = np.cumsum(size) - size
+            parts.append(flat[np.repeat(first[some] - before, size) + np.arange(int(size.sum()))])
+        ids = np.concatenate(parts)
+        stops = np.cumsum(np.r_[0, sizes[words]])[ends] + np.arange(1, len(texts) + 1)
+        at = 0
+        for stop, odd, text in zip(stops.tolist(), special.to_pylist(), texts, strict=True):
+            yield np.append(self.ids(text.as_py().encode()), end_id).astype("<u2") if odd else ids[at:stop]
+            at = stop
+
 
 _KEPT: dict[str, WordIds] = {}
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from oracle import connect, same_rows
@@ -123,6 +124,8 @@ def test_word_ids_equal_the_library(tokenizer):
     w = wordids.WordIds(wordids.vocabulary(), remembered=50)
     for t in texts:
         assert w.ids(t.encode()).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    want = [ids_of(tokenizer, t).tolist() for t in [*texts, None]]
+    assert [x.tolist() for x in w.each(pa.array([*texts, None]), 1)] == want
 
 
 def ids_of(tokenizer, text):
@@ -170,18 +173,18 @@ def test_range_coder_round_trip(n):
 
 def test_token_files_round_trip(spark, sf_dir, odd_docs, no_docs, tokenizer, tmp_path):
     for df in (table(spark, sf_dir), odd_docs):
-        manifest = token_files.write_tokens(df, f"file://{tmp_path}/{id(df)}")
+        path = token_files.write_tokens(df, f"file://{tmp_path}/{id(df)}")
         docs = sorted(docs_of(df), key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or ""))
         start, want = 0, []
         for d, t in docs:
             ids = ids_of(tokenizer, t)
             want.append((d, start, ids.tolist()))
             start += len(ids)
-        got = sorted(((r["doc_id"], r["start"], r["ids"]) for r in token_files.read_tokens(manifest).collect()), key=lambda r: r[1])
+        got = sorted(((r["doc_id"], r["start"], r["ids"]) for r in token_files.read_tokens(spark, path).collect()), key=lambda r: r[1])
         assert got == want
-        digest = {r["start"]: (r["n_tokens"], r["ids_crc32"]) for r in token_files.digest(manifest).collect()}
+        digest = {r["start"]: (r["n_tokens"], r["ids_crc32"]) for r in token_files.digest(spark, path).collect()}
         assert digest == {s: (len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for _, s, i in want}
-    assert token_files.digest(token_files.write_tokens(no_docs)).count() == 0
+    assert token_files.digest(spark, token_files.write_tokens(no_docs)).count() == 0
 
 
 # Pieces
