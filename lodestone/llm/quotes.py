@@ -5,10 +5,12 @@ the number of leading ``>``. Passages are runs of lines of one level between
 blank lines, the whole of a run and the whole own text; they are normalised
 (ASCII lower case, single blanks) and hashed. A quoted passage is joined to its
 original, the earliest message that has it as its own text: in the same
-conversation, if earlier there, else in any other. A passage without one, such
+conversation, if earlier there, else in the other conversation of least conv_id
+that has it. A passage without one, such
 as a quote trimmed to some lines, is joined by its lines: it is linked if each
 of them has an original, to the latest of these if all are earlier in the same
-conversation. A message replies to the latest message of its
+conversation, else to the one of least conv_id and turn. ``link_quotes`` returns
+a row for each quoted passage with its original. A message replies to the latest message of its
 conversation that its first-level quotes name. Messages without such a link are
 the trunk; each other one belongs to the trunk message that its links lead to.
 Conversations are returned reply-ordered and without quotes: trunk messages by
@@ -21,7 +23,8 @@ spread over tasks.
 
 Defined results: a null text counts as empty; a null role is ``unknown``; rows
 that share conv_id and turn are kept and ordered by role and text; an empty table
-gives an empty table; further columns are ignored.
+gives an empty table; further columns are ignored. A null conv_id is a conversation
+of its own, without links; a null turn comes first and is no original.
 """
 
 from __future__ import annotations
@@ -36,7 +39,11 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import written
 
 _QUOTED = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)(.*)", re.DOTALL)
-_ATTRIBUTION = re.compile(r"[ \t]*(?:On .{1,200} wrote|.{1,80} (?:wrote|said)):[ \t]*$")
+#: "On <date>, <name> wrote:", or a name without a sentence's end in it that wrote or said.
+_ATTRIBUTION = re.compile(r"[ \t]*(?:On\b.*\bwrote|(?:(?![.!?;:][ \t]).)+ (?:wrote|said)):[ \t]*$")
+
+#: Messages that one row of ``conversations`` holds at most.
+MESSAGES_PER_ROW = 1000
 
 _PARSED = (
     "row long, conv_id long, turn long, role string, text string, own array<string>, lines array<string>, "
@@ -147,38 +154,67 @@ def _parse_all(messages: DataFrame) -> DataFrame:
 
 
 def _with_originals(quotes: DataFrame, originals: DataFrame) -> DataFrame:
-    """``quotes`` with ``here``, the first turn of h in the same conversation, if earlier, and whether it is ``linked`` at all."""
-    originals = originals.join(quotes.select("h").distinct(), "h", "left_semi")
-    here = originals.groupBy("conv_id", "h").agg(F.min("turn").alias("here"))
-    # Whether another conversation has it: the least or the greatest that has it is another.
-    ends = here.groupBy("h").agg(F.min("conv_id").alias("least"), F.max("conv_id").alias("greatest"))
-    joined = quotes.join(here, ["conv_id", "h"], "left").join(ends, "h", "left")
-    near = F.coalesce(F.col("here") < F.col("turn"), F.lit(False))
-    far = F.coalesce((F.col("least") != F.col("conv_id")) | (F.col("greatest") != F.col("conv_id")), F.lit(False))
-    return joined.withColumns({"here": F.when(near, F.col("here")), "linked": near | far}).drop("least", "greatest")
+    """``quotes`` (conv_id, turn, h and more) with ``here``, and ``origin`` (conv_id, turn) or null.
+
+    here is the first turn of h in the same conversation, if earlier; origin is
+    that, or h's first turn in the other conversation of least conv_id.
+    """
+    originals = originals.where("conv_id IS NOT NULL AND turn IS NOT NULL").join(quotes.select("h").distinct(), "h", "left_semi")
+    first = written(originals.groupBy("conv_id", "h").agg(F.min("turn").alias("first")), "originals")
+    place = F.struct(F.col("conv_id"), F.col("first").alias("turn"))
+    least = first.groupBy("h").agg(F.min(place).alias("least"))
+    joined = quotes.join(first.withColumnRenamed("first", "here"), ["conv_id", "h"], "left").join(least, "h", "left")
+    joined = written(joined.withColumn("here", F.when(F.col("here") < F.col("turn"), F.col("here"))), "joined")
+    # Where the least conversation is the quoting one and does not say it before: the next one.
+    own = F.col("here").isNull() & (F.col("least.conv_id") == F.col("conv_id"))
+    asked = joined.where(own).groupBy("h").agg(F.min("least.conv_id").alias("but"))
+    second = first.join(asked, "h").where(F.col("conv_id") != F.col("but")).groupBy("h").agg(F.min(place).alias("second"))
+    joined = joined.join(second, "h", "left")
+    far = F.when(F.col("least.conv_id") != F.col("conv_id"), F.col("least")).otherwise(F.col("second"))
+    near = F.struct(F.col("conv_id"), F.col("here").alias("turn"))
+    return joined.withColumn("origin", F.when(F.col("here").isNotNull(), near).otherwise(far)).drop("least", "second")
 
 
 def _links(parsed: DataFrame) -> DataFrame:
-    """(row, conv_id, turn, n_quotes, max_level, n_linked, parent_turn) of messages that quote."""
+    """A row for each quoted passage: row, conv_id, turn, place, level, here, origin."""
     quotes = parsed.select("row", "conv_id", "turn", F.posexplode("quotes").alias("place", "q")).select("row", "conv_id", "turn", "place", "q.*")
     whole = _with_originals(quotes, parsed.select("conv_id", "turn", F.explode("own").alias("h")))
-    whole = written(whole.withColumn("lines", F.when(~F.col("linked"), F.col("lines"))).drop("h"), "whole")
-    lines = whole.where("NOT linked").select("row", "conv_id", "turn", "place", "level", F.explode("lines").alias("h"))
+    whole = written(whole.withColumn("lines", F.when(F.col("origin").isNull(), F.col("lines"))).drop("h"), "whole")
+    lines = whole.where("origin IS NULL").select("row", "conv_id", "turn", "place", "level", F.explode("lines").alias("h"))
     by_line = _with_originals(lines, parsed.select("conv_id", "turn", F.explode(F.concat("own", "lines")).alias("h")))
+    here = F.when(F.every(F.col("here").isNotNull()), F.max("here"))
     trimmed = by_line.groupBy("row", "place").agg(
         F.first("conv_id").alias("conv_id"),
         F.first("turn").alias("turn"),
         F.first("level").alias("level"),
-        F.when(F.every(F.col("here").isNotNull()), F.max("here")).alias("here"),
-        F.every("linked").alias("linked"),
+        here.alias("here"),
+        F.when(F.every(F.col("origin").isNotNull()), F.min("origin")).alias("least"),
+    )
+    near = F.struct(F.col("conv_id"), F.col("here").alias("turn"))
+    trimmed = trimmed.withColumn("origin", F.when(F.col("here").isNotNull(), near).otherwise(F.col("least")))
+    columns = ("row", "conv_id", "turn", "place", "level", "here", "origin")
+    return whole.where("origin IS NOT NULL").select(*columns).unionByName(trimmed.select(*columns))
+
+
+def link_quotes(messages: DataFrame) -> DataFrame:
+    """A row for each quoted passage of ``messages``: conv_id, turn, place (in the message), level, origin_conv, origin_turn.
+
+    The last two are null for a passage without an original.
+    """
+    links = _links(_parse_all(messages))
+    return links.select(
+        "conv_id", "turn", "place", "level", F.col("origin.conv_id").alias("origin_conv"), F.col("origin.turn").alias("origin_turn")
     )
-    columns = ("row", "conv_id", "turn", "level", "here", "linked")
-    return whole.where("linked").select(*columns).unionByName(trimmed.select(*columns)).groupBy("row").agg(
+
+
+def _by_message(links: DataFrame) -> DataFrame:
+    """(row, conv_id, turn, n_quotes, max_level, n_linked, parent_turn) of messages that quote."""
+    return links.groupBy("row").agg(
         F.first("conv_id").alias("conv_id"),
         F.first("turn").alias("turn"),
         F.count(F.lit(1)).alias("n_quotes"),
         F.max("level").alias("max_level"),
-        F.count_if("linked").alias("n_linked"),
+        F.count("origin").alias("n_linked"),
         F.max(F.when(F.col("level") == 1, F.col("here"))).alias("parent_turn"),
     )
 
@@ -219,7 +255,7 @@ def format_chat(messages: DataFrame) -> DataFrame:
     known original; text: the message in chat form.
     """
     parsed = _parse_all(messages)
-    links = written(_links(parsed), "links")
+    links = written(_by_message(_links(parsed)), "links")
     roots = _roots(links)
     of_row = links.select("row", "n_quotes", "max_level", "n_linked", "parent_turn")
     out = parsed.drop("own", "lines", "quotes").join(of_row, "row", "left").join(roots, ["conv_id", "turn"], "left")
@@ -234,9 +270,10 @@ def format_chat(messages: DataFrame) -> DataFrame:
     )
 
 
-def conversations(formatted: DataFrame) -> DataFrame:
-    """(conv_id, n_messages, text): each conversation of ``format_chat``'s rows as one text."""
+def conversations(formatted: DataFrame, per_row: int = MESSAGES_PER_ROW) -> DataFrame:
+    """(conv_id, part, n_messages, text): the conversations of ``format_chat``'s rows as texts of at most ``per_row`` messages each."""
+    part = F.floor(F.col("position") / per_row).alias("part")
     items = F.array_sort(F.collect_list(F.struct("position", "text")))
-    return formatted.groupBy("conv_id").agg(
+    return formatted.groupBy("conv_id", part).agg(
         F.count(F.lit(1)).alias("n_messages"), F.array_join(F.transform(items, lambda x: x["text"]), "").alias("text")
     )
