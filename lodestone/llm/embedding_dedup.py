@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import written
+from lodestone.llm.common import unused, written
 from lodestone.llm.components import connected_components
 from lodestone.llm.simhash import Groups
 
@@ -37,6 +37,7 @@ COSINE = 0.95
 SAMPLE = 20_000
 PER_CELL = 512
 MOST_CELLS = 4096
+BROADCAST_CELLS = 100_000
 #: Added to margins for rounding.
 SLACK = 1e-9
 ROUNDS = 12
@@ -48,6 +49,7 @@ def unit_vectors(column) -> np.ndarray:
     """Rows of an Arrow list column, scaled to length 1."""
     flat = np.asarray(column.flatten(), dtype="f8")
     x = flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    x = x / np.abs(x).max(axis=1, keepdims=True, initial=np.finfo("f8").smallest_subnormal)  # so that no square over- or underflows
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -147,8 +149,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, per_cell: int =
     alone = rows.where("NOT ok").select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")
     )
-    rows = rows.where("ok").drop("ok")
-    distinct = rows.groupBy("v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    # Two hashes, 128 bits, stand for a vector once equal ones have met.
+    rows = rows.where("ok").drop("ok").withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(1), "v")})
+    distinct = rows.groupBy("k1", "k2", "v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
     distinct = written(distinct.withColumn("node", F.monotonically_increasing_id()), "vectors")
     lengths = distinct.groupBy(F.size("v").alias("length")).count().orderBy(F.desc("count"), "length").first()
     length, count = (lengths[0], lengths[1]) if lengths else (1, 0)
@@ -162,7 +165,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, per_cell: int =
     blocks = n_ask.select("cell", F.ceil(F.col("count") / ASK_BLOCK).alias("asking")).join(
         n_home.select("cell", F.ceil(F.col("count") / HOME_BLOCK).alias("homes")), "cell"
     )
-    blocks = F.broadcast(written(blocks, "blocks"))  # one row a cell: at most MOST_CELLS and one a length
+    blocks = written(blocks, "blocks")  # one row a cell: at most MOST_CELLS and one a length
+    if blocks.count() <= BROADCAST_CELLS:
+        blocks = F.broadcast(blocks)
     deal = lambda own, other: (
         F.pmod(F.xxhash64("node"), F.col(own)).alias(f"{own}_block"),
         F.explode(F.sequence(F.lit(1).cast("long"), F.col(other))).alias(f"{other}_block"),
@@ -177,17 +182,21 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, per_cell: int =
 
     roots = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
-    member = distinct.join(roots, "node", "left").join(counted, "node", "left")
+    member = distinct.drop("v").join(roots, "node", "left").join(counted, "node", "left")
     member = member.withColumn("root", F.coalesce("root", "node"))
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
     member = member.join(least, "root").select(
-        "v", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"
+        "k1", "k2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"
     )
-    linked = rows.join(member, "v").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    linked = rows.drop("v").join(member, ["k1", "k2"]).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
     return linked.unionByName(alone)
 
 
 def dedup(vectors: DataFrame, **options) -> DataFrame:
-    """One vector of each group of ``vectors`` stays: the one with the least vec_id."""
-    keep = near_duplicates(vectors, **options).where("kept").select(F.col("vec_id").alias("kept_id")).distinct()
-    return vectors.join(keep, F.col("vec_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """One row of each group of ``vectors`` stays: that of the least vec_id (nulls last), of equal ones any."""
+    row = unused("__row", vectors)
+    numbered = written(vectors.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered.select(F.col(row).alias("vec_id"), "embedding"), **options)
+    ranked = found.select(F.col("vec_id").alias(row), "component_id").join(numbered.select(row, "vec_id"), row)
+    best = ranked.groupBy("component_id").agg(F.min(F.struct(F.col("vec_id").isNull().alias("last"), "vec_id", F.col(row).alias("row"))).alias("best"))
+    return numbered.join(best.select(F.col("best.row").alias(row)), row, "left_semi").drop(row)

@@ -41,6 +41,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.common import unused
+
 KINDS = ("assign", "access", "hex", "named")
 
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -377,9 +379,7 @@ def _report(texts):
 def report(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without its text, with counts and spans of each row."""
     result = T.StructType.fromDDL(REPORT[7:-1]).names
-    found = "__found"
-    while found in docs.columns:
-        found += "_"
+    found = unused("__found", docs)
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in (text, *result)]
     return docs.select(*kept, F.pandas_udf(_report, REPORT)(F.col(f"`{text}`")).alias(found)).select(*kept, f"{found}.*")
 
