@@ -106,20 +106,45 @@ def probe_indices(n: Column, k: int) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.least(n - 1, F.floor(n / (k + 1) * i).cast("int"))))
 
 
-def collated(sequences: Column, width: int) -> Column:
-    """Sequences in one row: ids, labels, positions that restart, mask, and the share that is used."""
+def collated(sequences: Column, labels: Column, width: int, pad: int = 0) -> Column:
+    """Sequences and their labels in one row: ids, labels, positions that restart, mask, and the share that is used."""
     ids = F.slice(F.flatten(sequences), 1, width)
     positions = F.slice(F.flatten(F.transform(sequences, lambda s: upto(F.size(s)))), 1, width)
     padded = lambda a, value: F.concat(a, F.array_repeat(F.lit(value), width - F.size(a)))
     return F.struct(
-        padded(ids, 0).alias("input_ids"),
-        padded(ids, -100).alias("labels"),
+        padded(ids, pad).alias("input_ids"),
+        padded(F.slice(F.flatten(labels), 1, width), -100).alias("labels"),
         padded(positions, 0).alias("position_ids"),
         padded(F.transform(ids, lambda _: F.lit(1)), 0).alias("attention_mask"),
         (F.size(ids) / width).alias("efficiency"),
     )
 
 
+def training_sequence(text: Column, audio: Column, marks: dict[str, list[int]], prefix: Column | None = None) -> Column:
+    """(input_ids, prompt_end): human turn with the text's ids, then the reply with the audio's.
+
+    ``marks``: ids of human, bos, eot, end_human, ai, speech, end_speech and end_ai. ``prefix`` holds the ids of
+    a speaker's description; a conversation has none, as its text names its speakers.
+    """
+    of = lambda *names: F.array(*(F.lit(x) for n in names for x in marks[n])).cast("array<int>")
+    head = [of("human", "bos"), *([prefix] if prefix is not None else []), text, of("eot", "end_human", "ai")]
+    prompt = F.concat(*head)
+    return F.struct(F.concat(prompt, of("speech"), audio, of("end_speech", "end_ai")).alias("input_ids"), F.size(prompt).alias("prompt_end"))
+
+
+def slots(filled: dict[int, Column], width: int, pad: int = 0) -> Column:
+    """Exactly ``width`` ids: those filled by place, the others ``pad``."""
+    if not all(0 <= k < width for k in filled):
+        raise ValueError("a place lies outside the row")
+    return F.array(*(filled.get(k, F.lit(pad)) for k in range(width)))
+
+
+def resampled_length(samples: Column, rate: int, to: int) -> Column:
+    """Samples at another rate, half up."""
+    doubled = samples.cast("long") * (2 * to) + rate
+    return ((doubled - F.pmod(doubled, F.lit(2 * rate))) / (2 * rate)).cast("long")
+
+
 def valid_frames(samples: Column, hop: int = 512, group: int = 4) -> Column:
     """Frames that hold samples: hops rounded up, and frames of ``group`` hops rounded up."""
     return F.ceil(F.ceil(samples / hop) / group).cast("int")
