@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import strings as S
+from lodestone.operators.running import numbered
 
 
 def drop_empty(df: DataFrame, *texts: str) -> DataFrame:
@@ -22,8 +23,8 @@ def digest(*values: Column) -> Column:
     return F.sha2(F.concat(*(F.when(v.isNull(), "-").otherwise(part(v)) for v in values)), 256)
 
 
-def first_occurrence(df: DataFrame, key: list[Column | str], order: list[Column | str]) -> DataFrame:
-    """The first row of each key by ``order``, which must be unique.
+def first_occurrence(df: DataFrame, key: list[Column | str], order: list[Column | str], keep: list[str] | None = None) -> DataFrame:
+    """The first row of each key by ``order``, which must be unique; of the columns ``keep``, if given.
 
     ``min_by`` of the whole row combines before the shuffle, so a key that a
     third of all rows share reaches its task as one row for each task before. Keys
@@ -31,7 +32,7 @@ def first_occurrence(df: DataFrame, key: list[Column | str], order: list[Column
     """
     column = lambda c: c if isinstance(c, Column) else F.col(c)
     rank = F.struct(*map(column, order))
-    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    row = F.struct(*(F.col(f"`{c}`") for c in keep or df.columns))
     kept = df.groupBy(digest(*map(column, key)).alias("__key")).agg(F.min_by(row, rank).alias("__row"))
     return kept.select("__row.*")
 
@@ -94,23 +95,22 @@ def with_results(plan: DataFrame, results: DataFrame, key: str, value: str, miss
     return out.withColumn("error", F.when(F.col("__there").isNull(), missing)).drop("__there")
 
 
-def zipped(a: DataFrame, b: DataFrame, ordinal: str) -> DataFrame:
-    """Rows of equal ordinal side by side; raises in the query if one side lacks a row."""
-    both = a.withColumn("__a", F.lit(1)).join(b.withColumn("__b", F.lit(1)), ordinal, "full")
+def zipped(a: DataFrame, a_order: list[Column | str], b: DataFrame, b_order: list[Column | str], path: str) -> DataFrame:
+    """Rows of two tables side by side by their places (``position``) in their orders; raises in the query if the lengths differ."""
+    left = numbered(a, [], a_order, f"{path}/a", "position").withColumn("__a", F.lit(1))
+    right = numbered(b, [], b_order, f"{path}/b", "position").withColumn("__b", F.lit(1))
+    both = left.join(right, "position", "full")
     uneven = F.col("__a").isNull() | F.col("__b").isNull()
-    checked = F.when(uneven, F.raise_error(F.lit("the sides differ in length"))).otherwise(F.col(ordinal))
-    return both.withColumn(ordinal, checked).drop("__a", "__b")
+    checked = F.when(uneven, F.raise_error(F.lit("the sides differ in length"))).otherwise(F.col("position"))
+    return both.withColumn("position", checked).drop("__a", "__b")
 
 
-def ranked(rows: DataFrame, order: list[Column], path: str) -> DataFrame:
-    """Adds ``rank`` from 0 by ``order``: ranges of the sorted rows are written to ``path``, counted within and added up."""
-    rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()).write.parquet(path)
-    spread = rows.sparkSession.read.parquet(path)
-    before = Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    sizes = spread.groupBy("__range").count().select("__range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
-    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
-    out = spread.withColumn("__inside", inside).join(F.broadcast(sizes), "__range")
-    return out.withColumn("rank", F.col("__base") + F.col("__inside")).drop("__range", "__base", "__inside")
+def contiguous_shards(df: DataFrame, order: list[Column | str], rows: int, path: str, most: int | None = None) -> DataFrame:
+    """Adds ``shard``: runs of ``rows`` rows in order, of the first ``most`` rows if that is given."""
+    ranked = numbered(df, [], order, path, "__k")
+    if most is not None:
+        ranked = ranked.where(F.col("__k") < most)
+    return ranked.withColumn("shard", F.floor(F.col("__k") / rows)).drop("__k")
 
 
 def known_or_raise(df: DataFrame, value: str, known: DataFrame, key: str) -> DataFrame:
@@ -120,12 +120,6 @@ def known_or_raise(df: DataFrame, value: str, known: DataFrame, key: str) -> Dat
     return out.withColumn(key, F.when(F.col(key).isNull(), F.raise_error(bad)).otherwise(F.col(key)))
 
 
-def upper_median(values: Column) -> Column:
-    """``sorted[n // 2]`` of an aggregated column."""
-    ordered = F.sort_array(F.collect_list(values))
-    return F.element_at(ordered, (F.size(ordered) / 2).cast("int") + 1)
-
-
 def upper_median_of(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
     """The same by ranks over value counts: memory does not grow with a group."""
     keys = keys or []

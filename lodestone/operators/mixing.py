@@ -8,11 +8,14 @@ many independent groups as asked for, each of which is one task's work.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
+from heapq import heappop, heappush
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import strings as S
+from lodestone.operators.running import numbered, running_totals
 from lodestone.operators.runs import per_group
 
 
@@ -22,7 +25,7 @@ def normalised_ratios(ratios: dict[str, float]) -> dict[str, float]:
     return {k: v / sum(ratios.values()) for k, v in ratios.items()}
 
 
-def sampled(df: DataFrame, dataset: str, row: str, ratios: dict[str, float], seed: int, epoch: int = 0) -> DataFrame:
+def sampled(df: DataFrame, dataset: str, row: str, ratios: dict[str, float], seed: int, path: str, epoch: int = 0) -> DataFrame:
     """max(1, int(total * ratio)) rows of each dataset: by lowest hash if it has so many, else drawn with repetition."""
     sizes = df.groupBy(dataset).agg(F.count(F.lit(1)).alias("size"))
     shares = normalised_ratios(ratios)
@@ -30,14 +33,21 @@ def sampled(df: DataFrame, dataset: str, row: str, ratios: dict[str, float], see
     total = df.count()
     sizes = sizes.select(dataset, "size", F.greatest(F.lit(1), (share * total).cast("int")).alias("target")).where("target IS NOT NULL")
     u = lambda *p: S.uniform(F.lit(seed), F.lit(epoch), *p)
-    ranked = df.join(F.broadcast(sizes), dataset).withColumn("u", u(F.col(dataset), F.col(row)))
-    once = Window.partitionBy(dataset).orderBy("u", row)
-    few = ranked.where("target <= size").withColumn("k", F.row_number().over(once)).where("k <= target").drop("k", "u", "size", "target")
-    draws = sizes.where("target > size").select(dataset, "size", F.explode(F.sequence(F.lit(1), F.col("target"))).alias("draw"))
+    sizes = F.broadcast(sizes)  # one row a dataset
+    ranked = df.join(sizes.where("target <= size"), dataset).withColumn("u", u(F.col(dataset), F.col(row)))
+    few = numbered(ranked, [dataset], ["u", row], f"{path}/few").where("k < target").drop("k", "u", "size", "target")
+    more = numbered(df.join(sizes.where("target > size"), dataset, "left_semi"), [dataset], [row], f"{path}/more", "local")
+    draws = slots(sizes.where("target > size"), "target", "draw").withColumn("draw", F.col("draw") + 1)
     draws = draws.select(dataset, F.floor(u(F.col(dataset), F.lit("draw"), F.col("draw")) * F.col("size")).alias("local"))
-    numbered = df.join(sizes.where("target > size").select(dataset), dataset, "left_semi")
-    numbered = numbered.withColumn("local", (F.row_number().over(Window.partitionBy(dataset).orderBy(row)) - 1).cast("long"))
-    return few.unionByName(draws.join(numbered, [dataset, "local"]).drop("local"))
+    return few.unionByName(draws.join(more, [dataset, "local"]).drop("local"))
+
+
+def slots(df: DataFrame, count: str, name: str, chunk: int = 1 << 16) -> DataFrame:
+    """Each row as often as ``count`` says, with a number from 0: in chunks, so that no array grows with the count."""
+    parts = df.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / chunk)))).where(f"{count} > 0")
+    least = F.least(F.lit(chunk), F.col(count) - F.col("__part") * chunk)
+    out = parts.repartition("__part").withColumn("__at", F.explode(F.sequence(F.lit(0).cast("long"), least.cast("long") - 1)))
+    return out.withColumn(name, F.col("__part") * chunk + F.col("__at")).drop("__part", "__at")
 
 
 def largest_remainders(shares: DataFrame, share: str, name: str, slots: int) -> DataFrame:
@@ -49,77 +59,148 @@ def largest_remainders(shares: DataFrame, share: str, name: str, slots: int) ->
     return out.withColumn("n", F.col("n") + F.when(rank <= left, 1).otherwise(0)).drop("rest")
 
 
-def mixed_batches(df: DataFrame, source: str, row: str, takes: dict[str, int], seed: int, epoch: int = 0) -> DataFrame:
+def mixed_batches(df: DataFrame, source: str, row: str, takes: dict[str, int], seed: int, path: str, epoch: int = 0) -> DataFrame:
     """Rows with a batch number: each batch takes so many of each source, in hash order; the scarcest ends it."""
     take = F.create_map(*(F.lit(x) for kv in takes.items() for x in kv))[F.col(source)]
-    order = Window.partitionBy(source).orderBy(S.uniform(F.lit(seed), F.lit(epoch), F.col(source), F.col(row)), row)
-    out = df.withColumn("take", take).where("take > 0").withColumn("batch", F.floor((F.row_number().over(order) - 1) / F.col("take")))
+    u = S.uniform(F.lit(seed), F.lit(epoch), F.col(source), F.col(row))
+    out = numbered(df.withColumn("take", take).where("take > 0").withColumn("u", u), [source], ["u", row], path).withColumn("batch", F.floor(F.col("k") / F.col("take")))
+    out = out.drop("k", "u")
     full = out.groupBy(source, "take").agg(F.count(F.lit(1)).alias("size")).agg(F.min(F.floor(F.col("size") / F.col("take"))).alias("n"))
     return out.crossJoin(F.broadcast(full)).where("batch < n").drop("take", "n")  # full is one row
 
 
-def _pack(capacity: int, rule: str):
-    def run(group: dict) -> dict:
-        bins, room = [], []  # room: (left, bin) of open bins, ascending; for first fit in order of bins
-        n = 0
-        for length in group["length"].tolist():
-            found = None
-            if length <= capacity:
-                if rule == "best":
-                    k = bisect_left(room, (length, -1))
-                    found = room.pop(k) if k < len(room) else None
-                else:
-                    k = next((k for k, (left, _) in enumerate(room) if left >= length), None)
-                    found = room[k] if k is not None else None
-            left, b = found or (max(capacity, length), n)
-            n += found is None
-            bins.append(b)
+class BestFit:
+    """Room of open bins: the least that fits, of equals the lowest bin."""
+
+    def __init__(self):
+        self.room: list[tuple[int, int]] = []
+
+    def take(self, length: int) -> tuple[int, int] | None:
+        k = bisect_left(self.room, (length, -1))
+        return self.room.pop(k) if k < len(self.room) else None
+
+    def put(self, left: int, b: int) -> None:
+        insort(self.room, (left, b))
+
+
+class FirstFit:
+    """Room of bins in a tree of maxima: the lowest bin that fits is found on one path from the top."""
+
+    def __init__(self):
+        self.leaves, self.most = 1, [0, 0]
+
+    def take(self, length: int) -> tuple[int, int] | None:
+        if self.most[1] < length:
+            return None
+        k = 1
+        while k < self.leaves:
+            k = 2 * k if self.most[2 * k] >= length else 2 * k + 1
+        return self.most[k], k - self.leaves
+
+    def put(self, left: int, b: int) -> None:
+        while b >= self.leaves:
+            rows = [self.most[1 << r : 2 << r] for r in range(self.leaves.bit_length())]
+            self.leaves *= 2
+            self.most = [0, self.most[1], *(x for row in rows for x in (*row, *[0] * len(row)))]
+        k = b + self.leaves
+        self.most[k] = left
+        while k := k // 2:
+            self.most[k] = max(self.most[2 * k], self.most[2 * k + 1])
+
+
+def bins_of(lengths: list[int], capacity: int, rule) -> list[int]:
+    """The bin of each length; one over the capacity is a closed bin of its own."""
+    out, n = [], 0
+    for length in lengths:
+        left, b = (rule.take(length) if length <= capacity else None) or (max(capacity, length), n)
+        n += b == n
+        out.append(b)
+        if left > length or isinstance(rule, FirstFit):
+            rule.put(left - length, b)
+    return out
+
+
+def affinity_bins(lengths: list[int], datasets: list, expected: dict, capacity: int) -> list[int]:
+    """Best fit, where of bins with equal room the one goes first whose leading dataset lacks most of its expected rows.
+
+    A bin's leading dataset is the one with most rows in it, of equals the least.
+    Bins of equal room are kept by leading dataset, lowest bin first, so a choice
+    looks at as many as there are datasets.
+    """
+    rooms: list[int] = []
+    at: dict[int, dict[object, list[int]]] = {}
+    held: list[Counter] = []
+    leader: list = []
+    lacking = Counter(expected)
+    out = []
+    for length, dataset in zip(lengths, datasets, strict=True):
+        k = bisect_left(rooms, length) if length <= capacity else len(rooms)
+        if k < len(rooms):
+            left = rooms[k]
+            lead = min(at[left], key=lambda d: (-lacking[d], at[left][d][0]))  # noqa: B023
+            b = heappop(at[left][lead])
+            if not at[left][lead]:
+                del at[left][lead]
+            if not at[left]:
+                del at[left], rooms[k]
+        else:
+            left, b = max(capacity, length), len(held)
+            held.append(Counter())
+            leader.append(dataset)
+        held[b][dataset] += 1
+        if (-held[b][dataset], dataset) < (-held[b][leader[b]], leader[b]):
+            leader[b] = dataset
+        lacking[dataset] -= 1
+        out.append(b)
+        if left > length and length <= capacity:
             left -= length
-            if rule == "best":
-                if left > 0:
-                    insort(room, (left, b))
-            elif found:
-                room[k] = (left, b)
-            elif left > 0:
-                room.append((left, b))
-        return {"pack_group": group["pack_group"], "row_id": group["row_id"], "bin": bins}
+            if left not in at:
+                at[left] = {}
+                insort(rooms, left)
+            heappush(at[left].setdefault(leader[b], []), b)
+    return out
+
+
+def rank_local(df: DataFrame, world: int, path: str, decreasing: bool = True) -> DataFrame:
+    """Rows (row_id, length and more) with ``pack_group``: the k-th of the whole order goes to rank k mod world."""
+    order = [F.desc("length"), F.asc("row_id")] if decreasing else [F.asc("row_id")]
+    ranked = running_totals(df, [], order, {"k": F.lit(1).cast("long")}, path)
+    return ranked.withColumn("pack_group", F.pmod(F.col("k") - 1, F.lit(world))).drop("k")
 
-    return run
 
+def groups_for(df: DataFrame, rows_per_group: int = 200_000) -> int:
+    """Independent groups to pack in, so that one holds about so many rows."""
+    return max(1, -(-df.count() // rows_per_group))
 
-def pack(df: DataFrame, capacity: int, groups: int = 1, rule: str = "best", decreasing: bool = True) -> DataFrame:
+
+def pack(df: DataFrame, capacity: int, path: str, groups: int | None = None, rule: str = "best", decreasing: bool = True) -> DataFrame:
     """(pack_group, row_id, bin) of rows (row_id, length).
 
     ``best``: the bin with the least room that fits, of equals the lowest number;
     ``first``: the first bin that fits. Longer rows first, unless not
     ``decreasing`` (then in order of row_id). A row over the capacity is a closed bin of its own.
+    Groups (by default one for 200,000 rows) pack by themselves; the order's rows are dealt to them in turn.
     """
-    dealt = df.select("row_id", "length", F.pmod(F.xxhash64("row_id"), F.lit(groups)).alias("pack_group"), (-F.col("length")).alias("longest"))
+    dealt = rank_local(df.select("row_id", "length"), groups or groups_for(df), path, decreasing).withColumn("longest", -F.col("length"))
     order = ["longest", "row_id"] if decreasing else ["row_id"]
-    return per_group(dealt, ["pack_group"], order, _pack(capacity, rule), "pack_group long, row_id long, bin int")
+    make = {"best": BestFit, "first": FirstFit}[rule]
+
+    def run(group: dict) -> dict:
+        return {"pack_group": group["pack_group"], "row_id": group["row_id"], "bin": bins_of(group["length"].tolist(), capacity, make())}
 
+    return per_group(dealt, ["pack_group"], order, run, "pack_group long, row_id long, bin int")
 
-def affinity_pack(df: DataFrame, capacity: int, groups: int = 1) -> DataFrame:
-    """Best fit of rows (row_id, length, dataset), where among bins of equal room those that lack the dataset come first."""
+
+def affinity_pack(df: DataFrame, capacity: int, expected: dict[str, int], path: str, groups: int | None = None) -> DataFrame:
+    """(pack_group, row_id, bin) of rows (row_id, length, dataset) by ``affinity_bins``, longer rows first."""
+    n = groups or groups_for(df)
+    dealt = rank_local(df.select("row_id", "length", "dataset"), n, path).withColumn("longest", -F.col("length"))
 
     def run(group: dict) -> dict:
-        bins, room, held = [], [], []
-        for length, dataset in zip(group["length"].tolist(), group["dataset"], strict=True):
-            k = bisect_left(room, (length, -1)) if length <= capacity else len(room)
-            if k < len(room):
-                same = [j for j in range(k, len(room)) if room[j][0] == room[k][0]]
-                k = min(same, key=lambda j: (held[room[j][1]].get(dataset, 0), room[j][1]))
-                left, b = room.pop(k)
-            else:
-                left, b = max(capacity, length), len(held)
-                held.append({})
-            held[b][dataset] = held[b].get(dataset, 0) + length
-            bins.append(b)
-            if left > length:
-                insort(room, (left - length, b))
+        share = {k: v / n for k, v in expected.items()}
+        bins = affinity_bins(group["length"].tolist(), list(group["dataset"]), share, capacity)
         return {"pack_group": group["pack_group"], "row_id": group["row_id"], "bin": bins}
 
-    dealt = df.select("row_id", "length", "dataset", F.pmod(F.xxhash64("row_id"), F.lit(groups)).alias("pack_group"), (-F.col("length")).alias("longest"))
     return per_group(dealt, ["pack_group"], ["longest", "row_id"], run, "pack_group long, row_id long, bin int")
 
 
@@ -134,13 +215,21 @@ def rank_bins(bins: DataFrame, bin_id: str, world: int) -> DataFrame:
     return out.unionByName(again)
 
 
-def equal_counts(df: DataFrame, rank: str, item: str) -> DataFrame:
+def equal_counts(df: DataFrame, rank: str, item: str, path: str) -> DataFrame:
     """Each rank's items repeated in turn until all ranks have as many as the largest."""
-    numbered = df.withColumn("k", F.row_number().over(Window.partitionBy(rank).orderBy(item)) - 1)
+    every = numbered(df, [rank], [item], path)
     sizes = df.groupBy(rank).agg(F.count(F.lit(1)).alias("size"))
-    most = sizes.agg(F.max("size").alias("most"))
-    slots = sizes.crossJoin(F.broadcast(most)).select(rank, F.explode(F.sequence(F.lit(0).cast("long"), F.col("most") - 1)).alias("slot"), "size")
-    return slots.withColumn("k", (F.col("slot") % F.col("size")).cast("int")).join(numbered, [rank, "k"]).select(rank, "slot", item)
+    sizes = sizes.crossJoin(F.broadcast(sizes.agg(F.max("size").alias("most"))))  # one row
+    turns = slots(sizes, "most", "slot").withColumn("k", F.col("slot") % F.col("size"))
+    return turns.join(every, [rank, "k"]).select(rank, "slot", item)
+
+
+def cycled(df: DataFrame, row: str, n: int, seed: int, path: str) -> DataFrame:
+    """(slot, row): the rows in hash order, again and again until there are n."""
+    order = numbered(df.select(row).withColumn("u", S.uniform(F.lit(seed), F.col(row))), [], ["u", row], path).drop("u")
+    size = order.count()
+    turns = df.sparkSession.range(n if size else 0).select(F.col("id").alias("slot"), (F.col("id") % max(size, 1)).alias("k"))
+    return turns.join(order, "k").select("slot", row)
 
 
 def epoch_order(df: DataFrame, key: str, seed: int, epoch: int) -> Column:

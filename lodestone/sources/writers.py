@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import strings as S
+from lodestone.operators.running import numbered
 from lodestone.operators.runs import per_group
 
 ROWS_A_FILE = 100_000
@@ -53,8 +54,12 @@ def manifest(pages: DataFrame, path: str, split: str = "split") -> DataFrame:
     return pages.groupBy(split, "src").agg(F.count(F.lit(1)).alias("n"))
 
 
-def blob_places(files: DataFrame, shard_bytes: int, groups: int = 1) -> DataFrame:
-    """(grp, id, shard, offset, length) of blobs (id, length) packed in order; a shard that has some rolls over before it would overflow."""
+def blob_places(files: DataFrame, shard_bytes: int, path: str, files_per_group: int = 100_000) -> DataFrame:
+    """(grp, id, shard, offset, length) of blobs (id, length) packed in order of id.
+
+    A shard that has some rolls over before it would overflow. Each run of
+    ``files_per_group`` files in a row packs shards of its own.
+    """
 
     def place(group: dict) -> dict:
         shard, at, shards_, offsets = 0, 0, [], []
@@ -66,7 +71,7 @@ def blob_places(files: DataFrame, shard_bytes: int, groups: int = 1) -> DataFram
             at += n
         return {"grp": group["grp"], "id": group["id"], "shard": shards_, "offset": offsets, "length": group["length"]}
 
-    dealt = files.select("id", "length", F.pmod(F.xxhash64("id"), F.lit(groups)).alias("grp"))
+    dealt = numbered(files.select("id", "length"), [], ["id"], path).withColumn("grp", F.floor(F.col("k") / files_per_group)).drop("k")
     return per_group(dealt, ["grp"], ["id"], place, "grp long, id long, shard int, offset long, length long")
 
 

@@ -1,4 +1,5 @@
 from lodestone.operators import corpus as C
+from lodestone.operators.running import numbered
 from lodestone.plans import catalog
 
 
@@ -6,7 +7,7 @@ def test_ranks_are_of_all_rows(spark, tmp_path):
     from pyspark.sql import functions as F
 
     rows = spark.range(3000).select("id", (F.col("id") * 7 % 40).alias("length")).repartition(7)
-    got = C.ranked(rows, [F.desc("length"), F.asc("id")], f"file://{tmp_path}/ranked").collect()
+    got = numbered(rows, [], [F.desc("length"), F.asc("id")], f"file://{tmp_path}/ranked", "rank").collect()
     want = sorted(got, key=lambda r: (-r["length"], r["id"]))
     assert len(got) == 3000 and [r["rank"] for r in want] == list(range(3000))
 

@@ -11,10 +11,10 @@ def rows_of(spark, lengths):
 
 
 @pytest.mark.parametrize("rule", ["best", "first"])
-def test_packing_places_each_row_once_and_fits(spark, rule):
+def test_packing_places_each_row_once_and_fits(spark, rule, tmp_path):
     lengths = np.random.default_rng(42).integers(1, 900, 200)
     df = rows_of(spark, [*lengths, 1500])
-    out = M.pack(df, 1000, rule=rule).join(df, "row_id").collect()
+    out = M.pack(df, 1000, f"file://{tmp_path}/p", rule=rule).join(df, "row_id").collect()
     assert len(out) == 201
     sums = {}
     for r in out:
@@ -23,8 +23,8 @@ def test_packing_places_each_row_once_and_fits(spark, rule):
     assert len(sums) <= sum(lengths) / 1000 * 1.25 + 2
 
 
-def test_best_fit_takes_the_least_room_and_then_the_lowest_bin(spark):
-    out = {r["row_id"]: r["bin"] for r in M.pack(rows_of(spark, [7, 6, 3, 4]), 10).collect()}
+def test_best_fit_takes_the_least_room_and_then_the_lowest_bin(spark, tmp_path):
+    out = {r["row_id"]: r["bin"] for r in M.pack(rows_of(spark, [7, 6, 3, 4]), 10, f"file://{tmp_path}/p").collect()}
     assert out == {0: 0, 1: 1, 3: 1, 2: 0}
 
 
