@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import strings as S
 from lodestone.operators import corpus as C
+from lodestone.operators.running import numbered
+from lodestone.plans.files import scratch
 from lodestone.plans.registry import query, table
 
 _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
@@ -28,7 +30,7 @@ u AS (SELECT * FROM s WHERE t <> '' QUALIFY row_number() OVER (PARTITION BY t OR
 p AS (SELECT lang, {_SPLIT.format(_STEM)} AS split FROM u)
 SELECT lang, split, count(*) AS n_docs FROM p GROUP BY lang, split""")
 def p0_corpus_splits(spark, d):
-    kept = C.first_occurrence(C.drop_empty(docs(spark, d), "text"), ["text"], ["doc_id"])
+    kept = C.first_occurrence(C.drop_empty(docs(spark, d), "text"), ["text"], ["doc_id"], keep=["doc_id", "lang", "source"])
     return C.with_hash_split(kept, stem()).groupBy("lang", "split").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
@@ -107,10 +109,11 @@ SELECT source, count(*) AS n_read, count(*) FILTER (t = '') AS n_empty, count(*)
   count(*) FILTER (t <> '' AND k = 1) AS n_kept FROM u GROUP BY source""")
 def a1_reject_accounting(spark, d):
     """Every row is kept, empty or a duplicate of the first with its text."""
-    rows = docs(spark, d).select("doc_id", "source", S.strip(F.coalesce("text", F.lit(""))).alias("t"))
+    t = S.strip(F.coalesce("text", F.lit("")))
+    rows = docs(spark, d).select("doc_id", "source", C.digest(t).alias("t"), (t == "").alias("empty"))  # texts stay where they are
     first = rows.groupBy("t").agg(F.min("doc_id").alias("first"))
     rows = rows.join(first, "t")
-    empty = F.col("t") == ""
+    empty = F.col("empty")
     return rows.groupBy("source").agg(
         F.count(F.lit(1)).alias("n_read"),
         F.count_if(empty).alias("n_empty"),
@@ -132,10 +135,10 @@ def a2_upper_median_summary(spark, d):
 SELECT coalesce(source, '*') AS source, coalesce(lang, '*') AS lang, count(*) AS n, sum(n_chars)::BIGINT AS n_chars
 FROM documents GROUP BY GROUPING SETS ((source), (lang), ())""")
 def a2_summary_grouping_sets(spark, d):
-    docs(spark, d).createOrReplaceTempView("ls_documents")
     return spark.sql(
         "SELECT coalesce(source, '*') AS source, coalesce(lang, '*') AS lang, count(*) AS n, sum(n_chars) AS n_chars "
-        "FROM ls_documents GROUP BY GROUPING SETS ((source), (lang), ())"
+        "FROM {rows} GROUP BY GROUPING SETS ((source), (lang), ())",
+        rows=docs(spark, d),
     )
 
 
@@ -181,9 +184,18 @@ def j2_lookup_join(spark, d):
     return docs(spark, d).select("doc_id", "source").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
 
 
-@query("SELECT doc_id, lang, n_chars FROM documents")
+@query("""WITH a AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents),
+ b AS (SELECT doc_id AS other, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS position FROM documents) SELECT position, doc_id, lang, other FROM a JOIN b USING (position)""")
 def j3_positional_join(spark, d):
-    return C.zipped(docs(spark, d).select("doc_id", "lang"), docs(spark, d).select("doc_id", "n_chars"), "doc_id")
+    """The k-th document by id beside the k-th by length; sides of unequal length raise."""
+    other = docs(spark, d).select(F.col("doc_id").alias("other"), "n_chars")
+    return C.zipped(docs(spark, d).select("doc_id", "lang"), ["doc_id"], other, [F.desc("n_chars"), "other"], scratch(spark)).drop("n_chars")
+
+
+@query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS shard FROM documents QUALIFY row_number() OVER (ORDER BY doc_id) <= 700")
+def sc4_contiguous_shards(spark, d):
+    """The first 700 rows of a table in shards of 64."""
+    return C.contiguous_shards(docs(spark, d).select("doc_id"), ["doc_id"], 64, scratch(spark), most=700)
 
 
 @query("""
@@ -252,25 +264,15 @@ def pf1_strip_drop_empty(spark, d):
     return C.drop_empty(docs(spark, d).select("doc_id", "text"), "text")
 
 
-@query("SELECT doc_id, n_chars FROM documents WHERE doc_id < 25")
+@query("SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 25")
 def o5_ordinal_limit(spark, d):
-    return docs(spark, d).where("doc_id < 25").select("doc_id", "n_chars")
-
-
-@query("SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS rank FROM documents QUALIFY rank < 100")
-def o1_longest_first(spark, d):
-    from pyspark.sql import Window
-
-    top = docs(spark, d).select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(100)
-    return top.withColumn("rank", (F.row_number().over(Window.orderBy(F.desc("n_chars"), "doc_id")) - 1).cast("long"))
+    return docs(spark, d).select("doc_id", "n_chars").orderBy("doc_id").limit(25)
 
 
 @query("SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS rank FROM documents")
 def o1_length_order(spark, d):
-    """The whole sort; o1_longest_first reports its first 100."""
-    from lodestone.plans.files import scratch
-
-    return C.ranked(docs(spark, d).select("doc_id", "n_chars"), [F.desc("n_chars"), F.asc("doc_id")], scratch(spark))
+    """The whole sort, longest first (o6)."""
+    return numbered(docs(spark, d).select("doc_id", "n_chars"), [], [F.desc("n_chars"), F.asc("doc_id")], scratch(spark), "rank")
 
 
 @query("SELECT doc_id, doc_id % 8 AS shard FROM documents")
@@ -281,10 +283,8 @@ def o8_round_robin(spark, d):
 @query("""
 SELECT doc_id, lang, CAST(floor((row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id DESC) - 1) / 32) AS BIGINT) AS batch FROM documents""")
 def o2_language_batches(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("lang").orderBy(F.desc("n_chars"), F.desc("doc_id"))
-    return docs(spark, d).select("doc_id", "lang", F.floor((F.row_number().over(w) - 1) / 32).alias("batch"))
+    rows = numbered(docs(spark, d).select("doc_id", "lang", "n_chars"), ["lang"], [F.desc("n_chars"), F.desc("doc_id")], scratch(spark))
+    return rows.select("doc_id", "lang", F.floor(F.col("k") / 32).alias("batch"))
 
 
 @query("""

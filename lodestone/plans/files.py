@@ -61,10 +61,45 @@ def sc5_parquet_shards(spark, d):
     return R.parquet_shards(spark, path).select("doc_id", "n_chars")
 
 
-@query("SELECT n_chars AS length, count(*) AS n FROM documents GROUP BY n_chars")
+@query("""WITH l AS (SELECT l_orderkey AS id, count(*) AS length FROM lineitem GROUP BY 1) SELECT 'stored' AS kind, length, count(*) AS n FROM l GROUP BY 2
+ UNION ALL SELECT 'counted', length, count(*) FROM l GROUP BY 2""")
 def sc6_lengths(spark, d):
-    stored = docs(spark, d).select(F.sequence(F.lit(1), F.lit(3)).alias("input_ids"), F.col("n_chars").alias("length"))
-    return R.with_lengths(stored).groupBy("length").agg(F.count(F.lit(1)).alias("n"))
+    """Lengths of token rows from their own column, and of rows that have none."""
+    path = scratch(spark)
+    ids = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list("l_partkey").alias("input_ids"))
+    ids.withColumn("length", F.size("input_ids")).write.parquet(path)
+    stored = spark.read.parquet(path)
+    by = lambda kind, df: R.with_lengths(df).groupBy(F.lit(kind).alias("kind"), F.col("length").cast("long").alias("length")).agg(F.count(F.lit(1)).alias("n"))
+    return by("stored", stored).unionByName(by("counted", stored.drop("length")))
+
+
+@query(r"""WITH l AS (SELECT regexp_replace(unnest(regexp_split_to_array(text, '\r\n|\r|\n')), '^\s+|\s+$', '', 'g') AS text FROM documents)
+ SELECT text, count(*) AS n FROM l WHERE text <> '' GROUP BY text""")
+def sc11_line_segments(spark, d):
+    """Lines of text files, stripped, without blank ones."""
+    path = scratch(spark)
+    table(spark, d, "documents").select("text").where("text IS NOT NULL").write.text(path)
+    return R.text_segments(spark, path).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT 'rows' AS kind, doc_id, NULL AS value FROM documents WHERE doc_id % 10 NOT IN (3, 7) UNION ALL
+ SELECT 'rejects', doc_id, '{{"doc_id":' || doc_id || ',"lang":"' || lang || '","n_chars":' || n_chars || '}' FROM documents WHERE doc_id % 10 = 7""")
+def sk5_reject_sink(spark, d):
+    """Rows and rejected lines, verbatim, written side by side and read again."""
+    path = scratch(spark)
+    rows, rejects = R.json_lines(spark, _json_file(spark, d), "doc_id long, lang string")
+    W.with_rejects(rows, rejects, path)
+    kept = spark.read.parquet(f"{path}/rows").select(F.lit("rows").alias("kind"), "doc_id", F.lit(None).cast("string").alias("value"))
+    bad = spark.read.json(f"{path}/rejects").select(F.lit("rejects").alias("kind"), F.regexp_extract("value", r'"doc_id":(\d+)', 1).cast("long").alias("doc_id"), "value")
+    return kept.unionByName(bad)
+
+
+@query("SELECT lang, count(*) AS n, round(avg(n_chars), 3) AS mean_chars FROM documents GROUP BY lang")
+def sk10_report(spark, d):
+    """A report written as one JSON file."""
+    path = scratch(spark)
+    W.report(docs(spark, d).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("n_chars"), 3).alias("mean_chars")), path)
+    return spark.read.schema("lang string, n long, mean_chars double").json(path)
 
 
 @query("SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY source")
@@ -77,23 +112,18 @@ def sc7_page_documents(spark, d):
     return found.join(R.stems(spark, path), "stem", "left_semi").select("source", "n", "chars")
 
 
-@query("SELECT count(*) AS n FROM (SELECT DISTINCT lang FROM documents)")
+@query("SELECT DISTINCT lang, 1 AS n_files FROM documents")
 def sc9_file_listing(spark, d):
+    """Files by extension at any depth: one a language here."""
     path = scratch(spark)
-    docs(spark, d).coalesce(1).write.partitionBy("lang").json(path)
-    return R.files(spark, path, ["json"]).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT doc_id, substr(text, 3, 5) AS part FROM documents WHERE length(text) = strlen(text)")
-def sc10_blob_span(spark, d):
-    """Spans of stored bytes (sc12: of PCM, cut before resampling)."""
-    t = table(spark, d, "documents").where(F.length("text") == F.octet_length("text"))
-    return t.select("doc_id", R.byte_span(F.encode("text", "UTF-8"), F.lit(2), F.lit(7), 1).cast("string").alias("part"))
+    docs(spark, d).repartition(1).write.partitionBy("lang").json(path)
+    folder = F.regexp_extract("path", "lang=([^/]*)/", 1).alias("lang")
+    return R.files(spark, path, ["json"]).groupBy(folder).agg(F.count(F.lit(1)).cast("int").alias("n_files"))
 
 
 @query("SELECT doc_id, substr(hex(encode(text)), 5, 10) AS part FROM documents")
 def sc10_byte_spans(spark, d):
-    """Spans of all documents' bytes, in hex; sc10_blob_span has those of ASCII texts alone."""
+    """Spans of all documents' bytes, in hex."""
     part = R.byte_span(F.encode("text", "UTF-8"), F.lit(2), F.lit(7), 1)
     return table(spark, d, "documents").select("doc_id", F.hex(part).alias("part"))
 
@@ -142,9 +172,14 @@ def sk7_manifest(spark, d):
     return W.manifest(docs(spark, d).withColumnsRenamed({"lang": "split", "source": "src"}), scratch(spark))
 
 
-@query()
+@query("""WITH RECURSIVE b AS (SELECT doc_id AS id, n_chars AS length, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents),
+ g AS (SELECT id, length, n // 100000 AS grp, n % 100000 AS k FROM b),
+ w AS (SELECT grp, k, id, length, 0 AS shard, 0::BIGINT AS pos FROM g WHERE k = 0
+  UNION ALL SELECT g.grp, g.k, g.id, g.length, CASE WHEN w.pos + w.length > 0 AND w.pos + w.length + g.length > 20000 THEN w.shard + 1 ELSE w.shard END,
+   CASE WHEN w.pos + w.length + g.length > 20000 THEN 0 ELSE w.pos + w.length END FROM w JOIN g ON g.grp = w.grp AND g.k = w.k + 1)
+ SELECT grp, id, shard, pos AS "offset", length FROM w""")
 def sk8_blob_places(spark, d):
-    return W.blob_places(docs(spark, d).select(F.col("doc_id").alias("id"), F.col("n_chars").alias("length")), 20_000, groups=4)
+    return W.blob_places(docs(spark, d).select(F.col("doc_id").alias("id"), F.col("n_chars").alias("length")), 20_000, scratch(spark))
 
 
 @query("SELECT lang AS language_dir, count(*) AS n, count(quality) AS scored FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1")

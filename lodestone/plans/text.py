@@ -79,12 +79,19 @@ def n2_capped_dev_split(spark, d):
     return R.dev_split(table(spark, d, "documents").select("doc_id"), 0.1, 40, 5, "doc_id")
 
 
-@query("""SELECT value, CASE lower(value) WHEN 'hin_deva' THEN 'Hindi' WHEN 'hindi' THEN 'Hindi' WHEN 'manipuri' THEN 'Manipuri (Meitei script)'
- WHEN 'sindhi' THEN 'Sindhi (Devanagari script)' WHEN 'mni_beng' THEN 'Manipuri (Bengali script)' ELSE 'Urdu' END AS name
- FROM (SELECT unnest(['hin_Deva', 'HINDI', 'Manipuri', 'sindhi', 'mni_Beng', 'urd_Arab']) AS value)""")
+_NAMES = ["hin_Deva", "HINDI", " Manipuri ", "sindhi", "mni_Beng", "urd_Arab"]
+
+
+@query(f"""SELECT doc_id, ['Hindi', 'Hindi', 'Manipuri (Meitei script)', 'Sindhi (Devanagari script)', 'Manipuri (Bengali script)', 'Urdu'][doc_id % 6 + 1] AS name FROM documents""")
 def pf4_language_names(spark, d):
-    values = spark.range(1).select(F.explode(F.array(*map(F.lit, ["hin_Deva", "HINDI", "Manipuri", "sindhi", "mni_Beng", "urd_Arab"]))).alias("value"))
-    return values.select("value", R.language_name(F.col("value")).alias("name"))
+    value = F.get(F.array(*map(F.lit, _NAMES)), (F.col("doc_id") % 6).cast("int"))
+    return table(spark, d, "documents").select("doc_id", R.language_name(value).alias("name"))
+
+
+@query()
+def n5_stable_seeds(spark, d):
+    """BLAKE2b seeds of source and doc_id, as decimal strings."""
+    return table(spark, d, "documents").select("doc_id", R.stable_seed_of(F.col("source"), F.col("doc_id")).alias("seed"))
 
 
 @query("""SELECT doc_id, src_lang, tgt_lang, src, ref FROM (
@@ -156,13 +163,6 @@ def t4_chunks(spark, d):
     return out.select("doc_id", F.posexplode("c").alias("idx", "chunk"))
 
 
-@query("""WITH w AS (SELECT doc_id, unnest(range(1, 1 + len(string_split(text, chr(10))))) AS i, string_split(text, chr(10)) AS l FROM documents)
- SELECT doc_id, count(*) AS n_lines, sum(length(l[i]))::BIGINT AS chars FROM w GROUP BY doc_id""")
-def sc11_line_segments(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("chars"))
-
-
 @query()
 def t7_dialogue_plan(spark, d):
     """Dialogues in chunks of at most 300 serialised characters (w15: turn ends)."""
@@ -180,7 +180,7 @@ def t9_dehyphenated(spark, d):
     return table(spark, d, "documents").select("doc_id", S.dehyphenate(broken).alias("text"))
 
 
-@query()
+@query(r"""SELECT doc_id, 'x $$' || regexp_replace(regexp_replace(replace(text, '$', '') || chr(10) || ' \text{क} = 9 \text{ख}', '^\s+|\s+$', '', 'g'), '\s*\n\s*', ' \\\\ ', 'g') || '$$ $\text{ग}+1$' AS text FROM documents""")
 def t10_repaired_math(spark, d):
     text = F.concat(F.lit("x $$"), F.replace(F.col("text"), F.lit("$"), F.lit("")), F.lit("\n क = 9 \\text{ख}$$ $ग+1$"))
     return table(spark, d, "documents").select("doc_id", G.repaired_math_of(text).alias("text"))
@@ -204,12 +204,13 @@ def t18_strip(spark, d):
 
 
 @query(r"""SELECT conv_id, turn, levenshtein(a, b) AS distance FROM (SELECT u.conv_id, u.turn,
- regexp_replace(u.text, '[^a-z]+', '', 'g') AS a, regexp_replace(v.text, '[^a-z]+', '', 'g') AS b
+ regexp_replace(u.text, '[^\x00-\x7F]', '?', 'g') AS a, regexp_replace(v.text, '[^\x00-\x7F]', '?', 'g') AS b
  FROM conversations u JOIN conversations v ON u.conv_id = v.conv_id AND v.turn = u.turn + 1)""")
 def t16_character_distance(spark, d):
-    bare = lambda c: F.regexp_replace(c, "[^a-z]+", "")
-    u = turns(spark, d).select("conv_id", "turn", bare(F.col("text")).alias("a"))
-    v = turns(spark, d).select("conv_id", (F.col("turn") - 1).alias("turn"), bare(F.col("text")).alias("b"))
+    """Distance of whole texts, turn by turn; SQL's counts bytes, so any other letter than ASCII's is one mark."""
+    plain = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", "?")
+    u = turns(spark, d).select("conv_id", "turn", plain(F.col("text")).alias("a"))
+    v = turns(spark, d).select("conv_id", (F.col("turn") - 1).alias("turn"), plain(F.col("text")).alias("b"))
     return u.join(v, ["conv_id", "turn"]).select("conv_id", "turn", F.levenshtein("a", "b").cast("long").alias("distance"))
 
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import arrays as A
 from lodestone.functions import signal as G
+from lodestone.operators import routing as Q
 from lodestone.operators.runs import per_group
 from lodestone.plans.registry import query, table
-from lodestone.streaming.sessions import Endpoints, FrameWindows, InOrder, Loudness
+from lodestone.streaming.sessions import Endpoints, FrameWindows, InOrder, Loudness, MicroBatches, Session
 from lodestone.streaming.stateful import replay
 
 _CODE = "CAST((l_partkey * 31 + l_suppkey * 7 + l_linenumber) % 4096 AS INTEGER)"
@@ -70,23 +72,36 @@ def pf20_without_prompt(spark, d):
     return code_arrays(spark, d).select("id", A.without_prompt(F.concat(prompt, "c", F.array(F.lit(-9), F.lit(-9), F.lit(-8))), prompt, [-8, -9]).alias("ids"))
 
 
-@query(f"WITH {_ROWS} SELECT id, c[1:least(len(c), 3)] AS ids FROM c WHERE len(c) > 0")
+@query(f"WITH {_ROWS}, s AS (SELECT id, list_filter(c, lambda x: x % 3 = 0) AS c FROM c) SELECT id, [1, 10, 20] || c || [11, 2, 3] AS ids FROM s WHERE len(c) > 0")
 def pf10_prompt_slice(spark, d):
-    """Prompts of at most three ids (pf7: empty rows are left out)."""
-    return code_arrays(spark, d).where(F.size("c") > 0).select("id", F.slice("c", 1, 3).alias("ids"))
+    """Prompts of training sequences; rows without audio are left out (pf7)."""
+    audio = F.filter("c", lambda x: x % 3 == 0)
+    rows = code_arrays(spark, d).select("id", audio.alias("audio")).where(F.size("audio") > 0)
+    out = rows.select("id", A.training_sequence(F.col("audio"), F.col("audio"), MARKS).alias("s"))
+    return out.select("id", F.slice("s.input_ids", F.lit(1), F.col("s.prompt_end")).alias("ids"))
 
 
-@query(f"WITH {_ROWS} SELECT id, list_concat(list_concat([1, 2], c), [3]) AS input_ids, len(c) + 3 AS length FROM c WHERE len(c) > 1")
+#: Ids of the marks around a sequence's parts, as made up as the table's codes.
+MARKS = {"human": [1], "bos": [10, 20], "eot": [11], "end_human": [2], "ai": [3], "speech": [4], "end_speech": [5], "end_ai": [6]}
+
+
+@query(f"WITH {_ROWS} SELECT id, [1, 10, 20] || [id % 100] || c || [11, 2, 3, 4] || list_reverse(c) || [5, 6] AS input_ids, CAST(len(c) + 7 AS INTEGER) AS prompt_end FROM c")
 def pf8_training_sequences(spark, d):
-    """Sequences with a prefix and an end (pf9: conversations go without the prefix)."""
-    ids = F.concat(F.array(F.lit(1), F.lit(2)), "c", F.array(F.lit(3)))
-    return code_arrays(spark, d).where(F.size("c") > 1).select("id", ids.alias("input_ids"), F.size(ids).cast("long").alias("length"))
+    """Sequences with a speaker's prefix."""
+    prefix = F.array((F.col("id") % 100).cast("int"))
+    return code_arrays(spark, d).select("id", A.training_sequence(F.col("c"), F.reverse("c"), MARKS, prefix).alias("s")).select("id", "s.*")
+
+
+@query(f"WITH {_ROWS} SELECT id, [1, 10, 20] || c || [11, 2, 3, 4] || list_reverse(c) || [5, 6] AS input_ids, CAST(len(c) + 6 AS INTEGER) AS prompt_end FROM c")
+def pf9_conversation_sequences(spark, d):
+    """The same for a conversation, which has no prefix."""
+    return code_arrays(spark, d).select("id", A.training_sequence(F.col("c"), F.reverse("c"), MARKS).alias("s")).select("id", "s.*")
 
 
 @query("SELECT doc_id, [10, CASE WHEN lang = 'en' THEN 1 ELSE 2 END, 0, 0, CASE WHEN n_chars > 1000 THEN 5 ELSE 6 END, 0, 0, 0, 0, 11] AS prompt FROM documents")
 def pf19_prompt_slots(spark, d):
-    slots = F.array(F.lit(10), F.when(F.col("lang") == "en", 1).otherwise(2), *[F.lit(0)] * 2, F.when(F.col("n_chars") > 1000, 5).otherwise(6), *[F.lit(0)] * 4, F.lit(11))
-    return table(spark, d, "documents").select("doc_id", slots.alias("prompt"))
+    language, mode = F.when(F.col("lang") == "en", 1).otherwise(2), F.when(F.col("n_chars") > 1000, 5).otherwise(6)
+    return table(spark, d, "documents").select("doc_id", A.slots({0: F.lit(10), 1: language, 4: mode, 9: F.lit(11)}, 10).alias("prompt"))
 
 
 @query("SELECT event_id, CASE WHEN value > 50 THEN value END AS big, json_extract_string(props, '$.k')::INTEGER AS k FROM events")
@@ -106,8 +121,7 @@ def f13_centre_padding(spark, d):
 
 @query("SELECT o_orderkey AS id, CAST((2 * o_custkey * 16000 + 44100) // (2 * 44100) AS BIGINT) AS samples FROM orders")
 def f14_resampled_lengths(spark, d):
-    n = F.floor((2 * F.col("o_custkey") * 16000 + 44100) / 88200.0)
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), n.alias("samples"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), A.resampled_length(F.col("o_custkey"), 44100, 16000).alias("samples"))
 
 
 @query("SELECT event_id, CASE WHEN value - 20 > 0 THEN round(event_id / (value - 20), 6) ELSE 0 END AS rtf FROM events")
@@ -123,8 +137,6 @@ _LEVELS = "l AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION B
  SELECT user_id, min(k) AS first, max(k) + 1 AS past FROM s GROUP BY user_id, island HAVING count(*) >= 2""")
 def w10_silence_islands(spark, d):
     """Runs of at least two quiet rows (w13: the level is the floor's and the peak's)."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("user_id")
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, d, "events").withColumn("k", F.row_number().over(order))
@@ -135,13 +147,15 @@ def w10_silence_islands(spark, d):
 
 
 RATE = 1000
+#: Chunks of a session's recording.
+CHUNKS = 512
 
 
 def audio(spark, d):
-    """Chunks of 0.2 s: a tone for some events, near silence for others."""
+    """Chunks of 0.2 s: a tone for some events, near silence for others; a session is ``CHUNKS`` events in a row."""
     loud = (F.col("event_id") % 23 < 15).cast("double") * 0.5 + 0.001
     wave = F.transform(F.sequence(F.lit(0), F.lit(199)), lambda i: loud * F.when(i % 4 < 2, 1.0).otherwise(-1.0) * (1 + i % 3))
-    return table(spark, d, "events").select((F.col("event_id") % 16).alias("session"), "event_id", wave.alias("samples"))
+    return table(spark, d, "events").select(F.floor(F.col("event_id") / CHUNKS).alias("session"), "event_id", wave.alias("samples"))
 
 
 def _said(x) -> str:
@@ -150,27 +164,83 @@ def _said(x) -> str:
 
 @query()
 def st1_speech_segments(spark, d):
-    """Segments of each session (st7: update and end events)."""
+    """Segments of each session."""
     make = lambda: Endpoints(_said, rate=RATE)
     return replay(audio(spark, d), "session", ["event_id"], "samples", make, "session long, kind string, start_s double, end_s double, text string")
 
 
 @query()
-def st2_frame_windows(spark, d):
-    tokens = F.flatten(F.transform("c", lambda x: F.array(*(x + k * A.CODES for k in range(7)))))
-    rows = code_arrays(spark, d).withColumn("request", F.col("id") % 64).select("request", "id", F.concat(F.array(F.lit(-1)), tokens).alias("tokens"))
-    return replay(rows, "request", ["id"], "tokens", lambda: FrameWindows(-1, -2), "request long, frame int, codes array<int>")
+def st7_session_events(spark, d):
+    """The same as a client's events: start, PCM audio and eof to updates and an end."""
 
+    def events(sessions, ids, firsts, lasts, samples):
+        import pandas as pd
 
-@query()
+        out = []
+        for first, last, s in zip(firsts, lasts, samples, strict=True):
+            rows = [("audio", G.to_pcm16(np.asarray(s, float) / 4))]
+            out.append([("start", None)] * bool(first) + rows + [("eof", None)] * bool(last))
+        return pd.Series(out)
+
+    rows = audio(spark, d)
+    ends = rows.groupBy("session").agg(F.min("event_id").alias("least"), F.max("event_id").alias("greatest"))
+    rows = rows.join(ends, "session").withColumns({"first": F.col("event_id") == F.col("least"), "last": F.col("event_id") == F.col("greatest")})
+    kind = "array<struct<kind: string, data: binary>>"
+    rows = rows.withColumn("e", F.pandas_udf(events, kind)("session", "event_id", "first", "last", "samples"))
+    rows = rows.select("session", "event_id", F.posexplode("e").alias("pos", "event")).withColumn("event", F.array(F.col("event.kind").cast("binary"), F.col("event.data")))
+
+    class Client(Session):
+        def push(self, event):
+            kind, data = event
+            return super().push((bytes(kind).decode(), data))
+
+    make = lambda: Client(lambda: Endpoints(_said, rate=RATE))
+    out = replay(rows, "session", ["event_id", "pos"], "event", make, "session long, event string, start_s double, end_s double, text string")
+    return out.select("session", "event", F.round("start_s", 6).alias("start_s"), F.round("end_s", 6).alias("end_s"), "text")
+
+
+@query(f"""WITH {_ROWS}, f AS (SELECT id // 16 AS request, flatten(list(c ORDER BY id)) AS c FROM c GROUP BY 1),
+ k AS (SELECT request, c, unnest(range(len(c))) AS frame FROM f)
+ SELECT request, CAST(frame AS INTEGER) AS frame, flatten(list_transform(range(frame - 1, frame + 3), lambda j: list_transform(range(7), lambda s: CASE WHEN j >= 0 AND j < len(c) THEN c[j + 1] ELSE 0 END))) AS codes FROM k""")
+def st2_frame_windows(spark, d):
+    """A request's tokens come in pieces that do not keep to frames."""
+    tokens = F.flatten(F.transform("c", lambda x: F.array(*(x + k * A.CODES for k in range(7)))))
+    rows = code_arrays(spark, d).withColumn("request", F.floor(F.col("id") / 16))
+    first = rows.groupBy("request").agg(F.min("id").alias("least"))
+    rows = rows.join(first, "request").withColumn("tokens", F.concat(F.when(F.col("id") == F.col("least"), F.array(F.lit(7), F.lit(-1))).otherwise(F.array().cast("array<int>")), tokens))
+    # Each row's last five tokens come with the next piece.
+    cut = F.size("tokens") - 5
+    pieces = F.array(F.struct(F.lit(0).alias("part"), F.slice("tokens", F.lit(1), cut).alias("t")), F.struct(F.lit(1).alias("part"), F.slice("tokens", cut + 1, 5).alias("t")))
+    rows = rows.select("request", "id", F.explode(pieces).alias("p")).select("request", "id", "p.part", "p.t")
+    return replay(rows, "request", ["id", "part"], "t", lambda: FrameWindows(-1, -2), "request long, frame int, codes array<int>")
+
+
+@query("""SELECT l_orderkey // 8 AS request, CAST(row_number() OVER (PARTITION BY l_orderkey // 8 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS INTEGER) AS idx,
+ CAST(l_quantity AS INTEGER) AS n FROM lineitem""")
 def st3_in_order(spark, d):
     """Rows of a request that arrive in any order, given in theirs."""
-    rows = spark.range(8 * 801).select(F.pmod("id", F.lit(8)).alias("request"), F.floor(F.col("id") / 8).cast("int").alias("idx"))
-    rows = rows.withColumn("arrival", F.pmod(F.col("idx") * 37, F.lit(801))).withColumn("row", F.array("idx", (F.col("request") + F.col("idx")).cast("int")))
+    request = Window.partitionBy("request").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    rows = table(spark, d, "lineitem").withColumn("request", F.floor(F.col("l_orderkey") / 8)).withColumn("idx", (F.row_number().over(request) - 1).cast("int"))
+    rows = rows.select("request", F.pmod(F.xxhash64("request", "idx"), F.lit(1 << 40)).alias("arrival"), F.array("idx", F.col("l_quantity").cast("int")).alias("row"))
     return replay(rows, "request", ["arrival"], "row", lambda: InOrder(1024), "request long, idx int, n int")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_type, event_id, CAST(event_id * 3 + event_id % 7 AS DOUBLE) AS came, row_number() OVER (PARTITION BY event_type, event_id // 512 ORDER BY event_id * 3 + event_id % 7, event_id) AS k, event_id // 512 AS span FROM events),
+ w AS (SELECT event_type, span, event_id, k, came, 0 AS batch, 1 AS n, came + 40 AS due FROM e WHERE k = 1 UNION ALL
+  SELECT e.event_type, e.span, e.event_id, e.k, e.came, batch + CAST(n = 8 OR e.came >= due AS INTEGER), CASE WHEN n = 8 OR e.came >= due THEN 1 ELSE n + 1 END, CASE WHEN n = 8 OR e.came >= due THEN e.came + 40 ELSE due END
+  FROM w JOIN e ON e.event_type = w.event_type AND e.span = w.span AND e.k = w.k + 1)
+ SELECT event_type || '/' || span AS request, batch, CASE WHEN count(*) = 8 THEN max(came) ELSE max(due) END AS left_at, list(event_id ORDER BY k) AS items FROM w GROUP BY event_type, span, batch""")
+def st3_micro_batches(spark, d):
+    """Batches of up to 8 events that wait 40 ms at most."""
+    at = F.col("event_id") * 3 + F.col("event_id") % 7
+    e = table(spark, d, "events").select(F.concat_ws("/", "event_type", F.floor(F.col("event_id") / 512).cast("string")).alias("request"), "event_id", at.alias("at"))
+    rows = e.withColumn("row", F.array("at", "event_id"))
+    make = lambda: MicroBatches(8, 40)
+    out = replay(rows, "request", ["at", "event_id"], "row", make, "request string, batch int, left_at double, items array<long>")
+    return out
+
+
+@query(f"""SELECT event_id // {CHUNKS} AS session, count(*) AS frames, count(*) * 400 AS n_bytes FROM events GROUP BY 1""")
 def st4_loudness(spark, d):
     def pcm(samples):
         return samples.map(lambda x: G.to_pcm16(np.asarray(x, float) / 4))
@@ -194,8 +264,32 @@ def v1_cut_points(spark, d):
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_totalprice / 4000 > 45 THEN 'chunk' ELSE 'whole' END AS route FROM orders")
 def v3_duration_routing(spark, d):
-    """Long recordings are chunked, others are not (v5: rows keep their ordinal either way)."""
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_totalprice") / 4000 > 45, "chunk").otherwise("whole").alias("route"))
+    """Long recordings are chunked, others are not."""
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), Q.route(F.col("o_totalprice") / 4000, 45).alias("route"))
+
+
+def _model(name: str):
+    """Stands in for a model: its name with the text's length; the one for whole recordings refuses every seventh length."""
+
+    def make():
+        def run(texts):
+            if name == "whole" and any(len(t) % 7 == 0 for t in texts):
+                raise ValueError("refused")
+            return [f"{name} {len(t)}" for t in texts]
+
+        return run
+
+    return make
+
+
+@query("""WITH r AS (SELECT doc_id, text, CASE WHEN doc_id % 11 <> 0 AND n_chars > 2000 THEN 'chunk' ELSE 'whole' END AS route FROM documents)
+ SELECT doc_id, route, CASE WHEN route = 'chunk' OR length(text) % 7 <> 0 THEN route || ' ' || length(text) END AS result,
+  CASE WHEN route = 'whole' AND length(text) % 7 = 0 THEN 'ValueError: refused' END AS error FROM r""")
+def v5_routed_results(spark, d):
+    """Results of both routes with their rows; recordings of unknown length go whole, failures are rows."""
+    rows = table(spark, d, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 11 != 0, F.col("n_chars")).alias("seconds"))
+    out = Q.transcribed(rows, F.col("seconds"), 2000, F.col("text"), _model("whole"), _model("chunk"), "string")
+    return out.select("doc_id", "route", "result", "error")
 
 
 @query("SELECT conv_id, string_agg(role, ' ' ORDER BY turn) FILTER (turn % 3 <> 0) AS text FROM conversations GROUP BY conv_id HAVING count(*) FILTER (turn % 3 <> 0) > 0")
@@ -206,7 +300,19 @@ def v4_joined_chunks(spark, d):
     return out.where(F.size(kept) > 0).select("conv_id", F.array_join(kept, " ").alias("text"))
 
 
-@query()
+_RMS = "sqrt(list_avg(list_transform({0}, lambda v: v * v)))"
+
+
+@query(f"""WITH w AS (SELECT DISTINCT CASE WHEN event_id % 23 < 15 THEN 0.501 ELSE 0.001 END::DOUBLE AS loud FROM events),
+ x AS (SELECT loud, list_transform(range(200), lambda i: trunc(greatest(-1.0, least(1.0, loud * CASE WHEN i % 4 < 2 THEN 1.0 ELSE -1.0 END::DOUBLE * (1 + i % 3) / 4)) * 32767) / 32768.0::DOUBLE) AS x FROM w),
+ f AS (SELECT loud, x, list_transform(range(10), lambda k: {_RMS.format('x[20 * k + 1:20 * k + 20]')}) AS fr FROM x),
+ a AS (SELECT loud, x, fr, {_RMS.format('x')} AS rms, list_filter(fr, lambda v: v > pow(10.0, -45 / 20.0)) AS act, list_max(list_transform(x, lambda v: abs(v))) AS peak FROM f),
+ b AS (SELECT *, CASE WHEN len(act) > 0 THEN {_RMS.format('act')} ELSE 0.0 END AS active FROM a),
+ c AS (SELECT *, CASE WHEN active <= pow(10.0, -45 / 20.0) THEN 1.0 ELSE pow(10.0, greatest(-12.0, least(12.0, -20 - 20 * log10(rms))) / 20) END AS gain,
+  list_filter(range(10), lambda k: fr[k + 1] > list_max(fr) * pow(10.0, -30 / 20.0)) AS heard FROM b),
+ l AS (SELECT loud, round(rms, 6) AS rms, round(active, 6) AS active, round(rms * gain, 6) AS louder, round(CASE WHEN peak > 1e-9 THEN pow(10.0, -1 / 20.0) ELSE peak END, 6) AS peak,
+  CAST(CASE WHEN list_max(fr) > 1e-9 THEN 20 * (list_max(heard) - list_min(heard) + 1) ELSE 200 END + 50 + 200 AS INTEGER) AS n FROM c)
+ SELECT event_id // {CHUNKS} AS session, event_id, l.rms, active, louder, peak, n FROM events JOIN l ON loud = CASE WHEN event_id % 23 < 15 THEN 0.501 ELSE 0.001 END::DOUBLE""")
 def f8_levels(spark, d):
     """Levels of chunks before and after normalisation (f9, f10, f11, f12)."""
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import arrays as A
 from lodestone.operators import lid as I
 from lodestone.operators import mixing as M
+from lodestone.plans.files import scratch
 from lodestone.plans.registry import query, table
 
 _U = "(('0x' || substr(md5({0}), 1, 13))::UBIGINT::DOUBLE / 4503599627370496.0)"
@@ -26,35 +27,84 @@ def docs(spark, d):
  SELECT lang, doc_id FROM few UNION ALL SELECT t.lang AS lang, t.doc_id AS doc_id FROM l JOIN t ON l.lang = t.lang AND l.local = t.local""")
 def n8_ratio_sampling(spark, d):
     """Ratios are normalised first (n9)."""
-    return M.sampled(docs(spark, d), "lang", "doc_id", RATIOS, 3).select("lang", "doc_id")
-
-
-@query()
+    return M.sampled(docs(spark, d), "lang", "doc_id", RATIOS, 3, scratch(spark)).select("lang", "doc_id")
+
+
+def _packing(order: str, rule: str = "best", groups: int = 1) -> str:
+    """Bins one row at a time: ``rooms`` holds what is left of each, -1 for closed ones."""
+    found = {
+        "best": "list_sort(list_filter(list_transform(rooms, lambda x, i: {'x': x, 'i': i}), lambda s: s.x >= r.length))[1].i",
+        "first": "list_position(list_transform(rooms, lambda x: x >= r.length), true)",
+    }[rule]
+    left = lambda room: f"CASE WHEN {room} > r.length OR ('{rule}' = 'first' AND {room} = r.length) THEN {room} - r.length ELSE -1 END"
+    return f"""WITH RECURSIVE o AS (SELECT doc_id AS row_id, n_chars AS length, row_number() OVER (ORDER BY {order}) - 1 AS n FROM documents),
+ r AS (SELECT row_id, length, n % {groups} AS pack_group, n // {groups} AS k FROM o),
+ p AS (SELECT pack_group, k, row_id, 0 AS bin, [{left("8192")}] AS rooms FROM r WHERE k = 0 UNION ALL
+  SELECT pack_group, k, row_id, CASE WHEN f > 0 THEN f - 1 ELSE len(rooms) END AS bin,
+   CASE WHEN f > 0 THEN list_transform(rooms, lambda x, i: CASE WHEN i = f THEN {left("x").replace("r.length", "length")} ELSE x END) ELSE list_append(rooms, {left("8192").replace("r.length", "length")}) END
+  FROM (SELECT r.pack_group, r.k, r.row_id, r.length, p.rooms, CASE WHEN r.length <= 8192 THEN {found} END AS f FROM p JOIN r ON r.pack_group = p.pack_group AND r.k = p.k + 1))"""
+
+
+_PACKED = "SELECT pack_group, row_id, bin FROM p"
+_BY_LENGTH = "n_chars DESC, doc_id"
+# The same with what affinity looks at: rows a bin has of each language, its leading language, rows placed so far.
+_AFFINITY = f"""WITH RECURSIVE o AS (SELECT doc_id AS row_id, n_chars AS length, list_position(['de', 'en', 'es', 'fr'], lang) AS d, row_number() OVER (ORDER BY {_BY_LENGTH}) - 1 AS k FROM documents),
+ t AS (SELECT count(*) AS total FROM documents), e AS (SELECT list_transform([0.4, 0.1, 0.2, 0.3], lambda x: CAST(floor(x * total) AS BIGINT)) AS expected FROM t),
+ p AS (SELECT k, row_id, 0 AS bin, [CASE WHEN length < 8192 THEN 8192 - length ELSE -1 END] AS rooms, [d] AS leads, [list_transform([1, 2, 3, 4], lambda x: CAST(x = d AS INTEGER))] AS held,
+   list_transform(expected, lambda x, i: x - CAST(i = d AS INTEGER)) AS lacking FROM o, e WHERE k = 0 UNION ALL
+  SELECT k, row_id, coalesce(f - 1, len(rooms)), CASE WHEN f > 0 THEN list_transform(rooms, lambda x, i: CASE WHEN i <> f THEN x WHEN x > length THEN x - length ELSE -1 END) ELSE list_append(rooms, CASE WHEN length < 8192 THEN 8192 - length ELSE -1 END) END,
+   CASE WHEN f > 0 THEN list_transform(leads, lambda x, i: CASE WHEN i = f AND (held[f][d] + 1 > held[f][x] OR (held[f][d] + 1 = held[f][x] AND d < x)) THEN d ELSE x END) ELSE list_append(leads, d) END,
+   CASE WHEN f > 0 THEN list_transform(held, lambda h, i: CASE WHEN i = f THEN list_transform(h, lambda x, j: x + CAST(j = d AS INTEGER)) ELSE h END) ELSE list_append(held, list_transform([1, 2, 3, 4], lambda x: CAST(x = d AS INTEGER))) END,
+   list_transform(lacking, lambda x, i: x - CAST(i = d AS INTEGER))
+  FROM (SELECT o.k, o.row_id, o.length, o.d, p.rooms, p.leads, p.held, p.lacking, CASE WHEN o.length <= 8192 THEN
+    list_sort(list_filter(list_transform(rooms, lambda x, i: {{'x': x, 'lack': -lacking[leads[i]], 'i': i}}), lambda s: s.x >= o.length))[1].i END AS f FROM p JOIN o ON o.k = p.k + 1))
+ SELECT 0 AS pack_group, row_id, bin FROM p"""
+
+
+def lengths(spark, d):
+    return docs(spark, d).select(F.col("doc_id").alias("row_id"), F.col("n_chars").alias("length"))
+
+
+@query(f"{_packing(_BY_LENGTH)} {_PACKED}")
 def n10_best_fit_packing(spark, d):
-    """Best-fit-decreasing bins of 8192, in four independent groups (n14)."""
-    return M.pack(docs(spark, d).select(F.col("doc_id").alias("row_id"), F.col("n_chars").alias("length")), 8192, groups=4)
+    """Best-fit-decreasing bins of 8192."""
+    return M.pack(lengths(spark, d), 8192, scratch(spark))
 
 
-@query()
+@query(f"{_packing(_BY_LENGTH, 'first')} {_PACKED}")
 def n11_first_fit_packing(spark, d):
-    return M.pack(docs(spark, d).select(F.col("doc_id").alias("row_id"), F.col("n_chars").alias("length")), 8192, groups=4, rule="first")
+    return M.pack(lengths(spark, d), 8192, scratch(spark), rule="first")
 
 
-@query()
+@query(f"{_packing('doc_id')} {_PACKED}")
 def n12_online_packing(spark, d):
-    return M.pack(docs(spark, d).select(F.col("doc_id").alias("row_id"), F.col("n_chars").alias("length")), 8192, groups=4, decreasing=False)
+    return M.pack(lengths(spark, d), 8192, scratch(spark), decreasing=False)
 
 
-@query()
+@query(_AFFINITY)
 def n13_affinity_packing(spark, d):
-    rows = docs(spark, d).select(F.col("doc_id").alias("row_id"), F.col("n_chars").alias("length"), F.col("lang").alias("dataset"))
-    return M.affinity_pack(rows, 8192, groups=4)
+    """Bins of equal room go to the language that lacks most of its share of all rows."""
+    total = docs(spark, d).count()
+    expected = {k: int(v * total) for k, v in M.normalised_ratios(RATIOS).items()}
+    return M.affinity_pack(lengths(spark, d).join(docs(spark, d).select(F.col("doc_id").alias("row_id"), F.col("lang").alias("dataset")), "row_id"), 8192, expected, scratch(spark))
+
+
+@query("SELECT doc_id AS row_id, n_chars AS length, (row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1) % 8 AS pack_group FROM documents")
+def n14_rank_local_rows(spark, d):
+    """Rows of each of 8 ranks before they pack by themselves."""
+    return M.rank_local(lengths(spark, d), 8, scratch(spark))
+
+
+@query(f"{_packing(_BY_LENGTH, groups=8)} {_PACKED}")
+def n14_rank_local_packing(spark, d):
+    return M.pack(lengths(spark, d), 8192, scratch(spark), groups=8)
 
 
-@query()
+@query(f"""{_packing(_BY_LENGTH)}, b AS (SELECT bin, sum(n_chars) AS tokens FROM p JOIN documents ON doc_id = row_id GROUP BY bin)
+ SELECT count(*) AS bins, sum(tokens)::BIGINT AS tokens, round(avg(tokens / 8192), 6) AS efficiency FROM b""")
 def a21_packing_efficiency(spark, d):
-    rows = docs(spark, d).select(F.col("doc_id").alias("row_id"), F.col("n_chars").alias("length"))
-    return M.packing_efficiency(M.pack(rows, 8192, groups=4).join(rows, "row_id"), 8192)
+    rows = lengths(spark, d)
+    return M.packing_efficiency(M.pack(rows, 8192, scratch(spark)).join(rows, "row_id"), 8192)
 
 
 @query("""WITH n AS (SELECT count(*) AS n FROM documents), e AS (SELECT n, (7 - n % 7) % 7 AS short FROM n)
@@ -69,7 +119,7 @@ def n15_rank_bins(spark, d):
  m AS (SELECT max(size) AS most FROM r), s AS (SELECT DISTINCT rank, size, unnest(range(most)) AS slot FROM r, m)
  SELECT s.rank AS rank, s.slot AS slot, r.doc_id AS doc_id FROM s JOIN r ON r.rank = s.rank AND r.k = s.slot % s.size""")
 def n16_equal_counts(spark, d):
-    return M.equal_counts(docs(spark, d).select(F.col("lang").alias("rank"), "doc_id"), "rank", "doc_id")
+    return M.equal_counts(docs(spark, d).select(F.col("lang").alias("rank"), "doc_id"), "rank", "doc_id", scratch(spark))
 
 
 @query(f"SELECT doc_id, round({_U.format("'12' || chr(31) || doc_id")}, 12) AS place FROM documents")
@@ -78,12 +128,20 @@ def n17_epoch_order(spark, d):
     return docs(spark, d).select("doc_id", F.round(M.epoch_order(docs(spark, d), "doc_id", 10, 2), 12).alias("place"))
 
 
-@query("""WITH o AS (SELECT l_orderkey AS bin, list(l_linenumber ORDER BY l_linenumber, l_partkey) AS ids, count(*) AS n FROM lineitem GROUP BY 1)
- SELECT bin, list_concat(ids[1:6], list_transform(range(greatest(0, 6 - n)), lambda x: 0)) AS input_ids, least(n, 6) / 6 AS efficiency FROM o""")
+@query("""WITH o AS (SELECT l_orderkey AS id, list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS ids FROM lineitem GROUP BY 1),
+ s AS (SELECT id // 4 AS bin, list(ids ORDER BY id) AS seqs FROM o GROUP BY 1),
+ f AS (SELECT bin, flatten(seqs) AS ids, flatten(list_transform(seqs, lambda q: list_transform(q, lambda x, i: CASE WHEN i = 1 THEN -100 ELSE x + 1 END))) AS labels, flatten(list_transform(seqs, lambda q: range(len(q)))) AS pos, least(len(flatten(seqs)), 12) AS n FROM s)
+ SELECT bin, list_concat(ids[1:12], list_transform(range(12 - n), lambda x: 7)) AS input_ids, list_concat(labels[1:12], list_transform(range(12 - n), lambda x: -100)) AS labels,
+  list_concat(pos[1:12], list_transform(range(12 - n), lambda x: 0)) AS position_ids, list_transform(range(12), lambda i: CAST(i < n AS INTEGER)) AS attention_mask, n / 12 AS efficiency FROM f""")
 def n18_collated_rows(spark, d):
-    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("bin")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("s"))
-    c = A.collated(F.array(F.transform("s", lambda x: x["l_linenumber"])), 6)
-    return rows.select("bin", c["input_ids"].alias("input_ids"), c["efficiency"].alias("efficiency"))
+    """Several sequences a row of 12, cut where they do not fit, with labels of their own."""
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey")
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(item)).alias("s"))
+    rows = rows.select("id", F.transform("s", lambda x: x["l_partkey"]).alias("ids"))
+    rows = rows.withColumn("labels", F.transform("ids", lambda x, i: F.when(i == 0, F.lit(-100).cast("long")).otherwise(x + 1)))
+    bins = rows.groupBy(F.floor(F.col("id") / 4).alias("bin")).agg(F.array_sort(F.collect_list(F.struct("id", "ids", "labels"))).alias("q"))
+    c = A.collated(F.transform("q", lambda x: x["ids"]), F.transform("q", lambda x: x["labels"]), 12, 7)
+    return bins.select("bin", c.alias("c")).select("bin", "c.*")
 
 
 @query("""WITH s AS (SELECT lang, count(*) / (SELECT count(*) FROM documents) AS share FROM documents GROUP BY lang),
@@ -100,13 +158,15 @@ def n19_largest_remainders(spark, d):
  row_number() OVER (PARTITION BY lang ORDER BY {_U.format("'9' || chr(31) || '0' || chr(31) || lang || chr(31) || doc_id")}, doc_id) - 1 AS k, count(*) OVER (PARTITION BY lang) AS size FROM documents)
  SELECT lang, doc_id, k // take AS batch FROM b WHERE k // take < (SELECT min(size // take) FROM b)""")
 def n20_mixed_batches(spark, d):
-    return M.mixed_batches(docs(spark, d), "lang", "doc_id", {"en": 5, "fr": 2, "de": 1, "es": 1}, 9).select("lang", "doc_id", "batch")
+    return M.mixed_batches(docs(spark, d), "lang", "doc_id", {"en": 5, "fr": 2, "de": 1, "es": 1}, 9, scratch(spark)).select("lang", "doc_id", "batch")
 
 
-@query("SELECT i AS slot, i % (SELECT count(*) FROM documents) AS doc_id FROM range(2500) AS r(i)")
+@query(f"""WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY {_U.format("'5' || chr(31) || doc_id")}, doc_id) - 1 AS k, count(*) OVER () AS n FROM documents)
+ SELECT k + n * r AS slot, doc_id FROM o, unnest(range(3)) AS u(r) WHERE k + n * r < n * 5 // 2""")
 def n22_cycled_rows(spark, d):
-    n = docs(spark, d).count()
-    return spark.range(2500).select(F.col("id").alias("slot"), (F.col("id") % n).alias("doc_id"))
+    """Two and a half rounds of all rows, shuffled."""
+    rows = docs(spark, d)
+    return M.cycled(rows, "doc_id", rows.count() * 5 // 2, 5, scratch(spark))
 
 
 # Scores of a language: a remainder of its id, so every row has a defined best and ties occur.
@@ -184,7 +244,7 @@ def o7_probe_indices(spark, d):
  SELECT event_type, event_id, best = 1 AS is_best, last = 1 AS is_last FROM e WHERE best = 1 OR last = 1""")
 def o9_best_and_last(spark, d):
     e = table(spark, d, "events")
-    best = Window.partitionBy("event_type").orderBy(F.desc("value"), "event_id")
-    last = Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id"))
-    out = e.select("event_type", "event_id", (F.row_number().over(best) == 1).alias("is_best"), (F.row_number().over(last) == 1).alias("is_last"))
-    return out.where("is_best OR is_last")
+    best = F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("best")
+    by = e.groupBy("event_type").agg(best, F.max_by("event_id", F.struct("ts", "event_id")).alias("last"))
+    kept = by.select("event_type", "best", "last", F.explode(F.array_distinct(F.array("best", "last"))).alias("event_id"))
+    return kept.select("event_type", "event_id", (F.col("event_id") == F.col("best")).alias("is_best"), (F.col("event_id") == F.col("last")).alias("is_last"))
