@@ -3,13 +3,18 @@
 A logistic model over surface features of the whole text gives each document's
 log odds of good quality. It is fitted in numpy on labelled rows, at most
 ``TRAIN_ROWS`` of them, taken by hash order of doc_id: this sample is the only
-thing that the driver receives. Every document's probability then counts for its
-host and its path. Grouped aggregation gives per host and per path the number
-of documents and the sum of probabilities; a host's posterior is shrunk toward
-the global rate and a path's toward its host's, by as many pseudo-documents as
-the spread between groups implies (method of moments). A document's score is
-the classifier's log odds, less the training sample's base rate, plus its
-path's posterior log odds.
+thing that the driver receives. Features are computed once a text and the odds
+written beside it. Every document's probability then counts for its host and
+its path. Grouped aggregation gives per host and per path the number of
+documents and the sum of probabilities; a host's posterior is shrunk toward the
+global rate and a path's toward its host's, by as many pseudo-documents as the
+spread of hosts around the global rate, and of paths around their host's,
+implies (method of moments). A document's prior is its path's posterior without
+the document itself, whose evidence is the classifier's log odds less the
+training sample's base rate; the score adds the two.
+
+Host and path are any two columns, by default ``source`` and ``lang``, which are
+what ``documents`` has of a site; ``url_site`` gives those of a URL.
 
 Site tables are joined back by broadcast if their counted rows are at most
 ``BROADCAST_SITES``, else by a shuffled join; a hot host is one row there, and
@@ -19,7 +24,7 @@ Defined results: a null text counts as empty; a null host or path is a site of
 its own; labels without a row are ignored and of repeated labels the mean
 counts (good if 0.5 or more); with no labels of both kinds, nothing is
 rejected; repeated rows each get a row; an empty table gives an empty table;
-``quality_filter`` keeps all columns of its input.
+``quality_filter`` keeps all columns of its input, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import text_bytes, written
+from lodestone.llm.common import text_bytes, unused, written
 
 #: Most labelled rows that the classifier is fitted on.
 TRAIN_ROWS = 20_000
@@ -144,64 +149,93 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def _strength(groups: DataFrame, n: Column, total: Column, mean: float) -> float:
-    """Pseudo-documents of the prior, from the spread between groups' rates."""
-    rate = total / n
-    spread = groups.agg(
-        (F.sum(n * (rate - mean) * (rate - mean)) / F.sum(n)).alias("between"),
-        (F.count(F.lit(1)) / F.sum(n)).alias("per_row"),
-    ).first()
+def url_site(url: Column) -> tuple[Column, Column]:
+    """Host and first path segment of a URL, lower-case; null where it has none."""
+    parts = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/?#:]+)", 1)
+    segment = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)", 1)
+    return F.nullif(F.lower(parts), F.lit("")), F.nullif(segment, F.lit(""))
+
+
+def _strength(spread: float, groups: int, rows: float, mean: float) -> float:
+    """Pseudo-documents of a prior, from the spread of group rates around it.
+
+    ``spread``: the sum of squared deviations, weighted by rows; ``groups``: how many deviate freely.
+    """
     within = mean * (1 - mean)
-    between = (spread["between"] or 0.0) - within * (spread["per_row"] or 0.0)
+    between = (spread - within * groups) / max(rows, 1.0)
     return min(max(within / max(between, 1e-9) - 1, 1.0), 1e6)
 
 
-def site_posteriors(scored: DataFrame) -> DataFrame:
-    """(host, path, prior): prior is the path's posterior rate of good documents.
+def site_table(scored: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+    """(host, path, n, good, host_n, host_good), and the global rate with both strengths.
 
     ``scored`` has host, path (both without nulls) and p, a document's probability.
     """
     sites = written(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("good")), "sites")
     hosts = sites.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
-    every = sites.agg(F.sum("n"), F.sum("good")).first()
-    mean = min(max((every[1] or 0.0) / max(every[0] or 0, 1), 1e-3), 1 - 1e-3)
-    of_hosts = _strength(hosts, F.col("host_n"), F.col("host_good"), mean)
-    of_paths = _strength(sites, F.col("n"), F.col("good"), mean)
-    hosts = hosts.select("host", ((F.col("host_good") + of_hosts * mean) / (F.col("host_n") + of_hosts)).alias("host_rate"))
-    joined = sites.join(hosts, "host")
-    return joined.select("host", "path", ((F.col("good") + of_paths * F.col("host_rate")) / (F.col("n") + of_paths)).alias("prior"))
-
-
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", rows: int = TRAIN_ROWS) -> DataFrame:
-    """``docs`` with __classifier, __prior and __score (log odds; negative ones are rejected)."""
-    model = fit(docs, labels, rows)
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
-    odds = docs.select(key(host).alias("host"), key(path).alias("path"), log_odds(F.col("text"), model).alias("odds"))
-    sites = written(site_posteriors(odds.withColumn("p", 1 / (1 + F.exp(-F.col("odds"))))), "posteriors")
-    sites = sites.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("prior").alias("__prior"))
-    if sites.count() <= BROADCAST_SITES:
-        sites = F.broadcast(sites)
-    out = docs.withColumn("__classifier", log_odds(F.col("text"), model))
-    out = out.join(sites, (key(host) == F.col("__host")) & (key(path) == F.col("__path")), "left")
-    base = model["base"] if model else 0.0
-    prior = _logit(F.col("__prior")) if model else F.lit(0.0)
-    return out.withColumn("__score", F.col("__classifier") - base + prior).drop("__host", "__path")
+    sites = written(sites.join(hosts, "host"), "sites")
+    every = sites.agg(F.sum("n"), F.sum("good"), F.count(F.lit(1)), F.countDistinct("host")).first()
+    rows, paths, n_hosts = float(every[0] or 0), every[2], every[3]
+    mean = min(max((every[1] or 0.0) / max(rows, 1.0), 1e-3), 1 - 1e-3)
+    of_host = F.col("host_good") / F.col("host_n")
+    apart = sites.agg(
+        F.sum(F.col("n") * F.pow(of_host - mean, F.lit(2.0))).alias("hosts"), F.sum(F.col("n") * F.pow(F.col("good") / F.col("n") - of_host, F.lit(2.0))).alias("paths")
+    ).first()
+    return sites, {
+        "mean": mean,
+        "hosts": _strength(apart["hosts"] or 0.0, max(n_hosts - 1, 0), rows, mean),
+        "paths": _strength(apart["paths"] or 0.0, max(paths - n_hosts, 0), rows, mean),
+    }
+
+
+def prior_without(p: Column, site: Column, found: dict[str, float]) -> Column:
+    """The posterior rate of a document's path from all documents but itself, whose probability is ``p``."""
+    host = (site["host_good"] - p + found["hosts"] * found["mean"]) / (site["host_n"] - 1 + found["hosts"])
+    return (site["good"] - p + found["paths"] * host) / (site["n"] - 1 + found["paths"])
+
+
+def _share(odds: Column) -> Column:
+    return 1 / (1 + F.exp(-odds))
+
+
+def classify(
+    docs: DataFrame, labels: DataFrame, out: str, host: Column | str = "source", path: Column | str = "lang", text: Column | str = "text", rows: int = TRAIN_ROWS,
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with a struct ``out``: odds, the site's prior and the score (log odds; negative ones are rejected).
+
+    ``labels`` are of ``docs``' column doc_id; its texts are ``text``.
+    """
+    column = lambda c: F.col(f"`{c}`") if isinstance(c, str) else c
+    model = fit(docs.select("doc_id", column(text).alias("text")), labels, rows)
+    key = lambda c: F.coalesce(column(c).cast("string"), F.lit("\0"))
+    scored = F.struct(key(host).alias("host"), key(path).alias("path"), log_odds(column(text), model).alias("odds"))
+    scored = written(docs.select(*(F.col(f"`{c}`") for c in keep or docs.columns), scored.alias(out)), "scored")
+    mine = F.col(out)
+    sites, found = site_table(scored.select(mine["host"].alias("host"), mine["path"].alias("path"), _share(mine["odds"]).alias("p")))
+    site = unused("__site", scored)
+    small = sites.count() <= BROADCAST_SITES
+    sites = sites.select(F.struct(*sites.columns).alias(site))
+    same = (mine["host"] == F.col(site)["host"]) & (mine["path"] == F.col(site)["path"])
+    joined = scored.join(F.broadcast(sites) if small else sites, same, "left")
+    prior = prior_without(_share(mine["odds"]), F.col(site), found)
+    score = mine["odds"] - model["base"] + _logit(prior) if model else F.lit(0.0)
+    return joined.withColumn(out, F.struct(mine["odds"].alias("odds"), prior.alias("prior"), score.alias("score"))).drop(site)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id with the classifier's probability, the site's prior, the score and the verdict."""
-    found = classify(docs.select("doc_id", "text", "source", "lang"), labels, **options)
-    share = lambda x: 1 / (1 + F.exp(-F.col(x)))
+    found = classify(docs, labels, "found", **options, keep=["doc_id"]).select("doc_id", "found.*")
     return found.select(
         "doc_id",
-        share("__classifier").alias("classifier"),
-        F.col("__prior").alias("site_prior"),
-        share("__score").alias("score"),
-        (share("__score") >= KEEP).alias("kept"),
+        _share(F.col("odds")).alias("classifier"),
+        F.col("prior").alias("site_prior"),
+        _share(F.col("score")).alias("score"),
+        (_share(F.col("score")) >= KEEP).alias("kept"),
     )
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are kept, with the columns of ``docs``."""
-    found = classify(docs, labels, **options).where(1 / (1 + F.exp(-F.col("__score"))) >= KEEP)
-    return found.select(*(F.col(f"`{c}`") for c in docs.columns))
+    out = unused("__found", docs)
+    return classify(docs, labels, out, **options).where(_share(F.col(out)["score"]) >= KEEP).drop(out)
