@@ -35,8 +35,9 @@ from lodestone.llm.simhash import Groups
 
 COSINE = 0.95
 SAMPLE = 20_000
-PER_CELL = 512
-MOST_CELLS = 4096
+#: Vectors a cell beyond ``LEAST_CELLS`` cells: what asking moves grows with the cells, what is multiplied does not.
+PER_CELL = 32_768
+LEAST_CELLS, MOST_CELLS = 64, 4096
 BROADCAST_CELLS = 100_000
 #: Added to margins for rounding.
 SLACK = 1e-9
@@ -157,7 +158,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, per_cell: int =
     length, count = (lengths[0], lengths[1]) if lengths else (1, 0)
     sample = distinct.where(F.size("v") == length).orderBy(F.xxhash64("v"), "node").limit(SAMPLE).select("v").toArrow()
     x = unit_vectors(sample.column("v").combine_chunks()) if sample.num_rows else np.ones((1, length))
-    cells = min(max(1, -(-count // per_cell)), MOST_CELLS)
+    cells = min(max(LEAST_CELLS, -(-count // per_cell)), MOST_CELLS)
     assigned = written(_assign(distinct, spherical_kmeans(x, cells), length, cosine), "assigned")
 
     asking = assigned.withColumn("cell", F.explode("asks"))

@@ -2,15 +2,17 @@
 
 Distinct marked words (a word with the mark of the space before it) are sorted,
 which makes them a trie in depth-first order: a word keeps the forward entries
-of the prefix that it shares with the one before and only adds its own.
-
-The vocabulary at hand is of the BPE kind, where the best path is the one that
-greedy merging takes, not one of highest summed score. The forward entry of a
-prefix is therefore its last piece on that path. The prefixes before a piece
-boundary are encoded as in the whole, and a sequence of pieces is the encoding
-of its text exactly if each two neighbours are the encoding of theirs; so among
-the pieces that end a prefix, the one is taken that may follow the last piece
-of what it leaves. Characters without a piece are coded by their bytes.
+of the prefix that it shares with the one before and only adds its own. The
+entry of a prefix is the score of its best path, the sum of its pieces' scores,
+with the path's last piece.
+
+In a unigram vocabulary the best path is the one of highest score. In one of
+the BPE kind, as the one at hand, it is the one that greedy merging takes: the
+prefixes before a piece boundary are encoded as in the whole, and a sequence of
+pieces is the encoding of its text exactly if each two neighbours are the
+encoding of theirs. So there a piece extends a path only if it may follow the
+path's last piece, and one path a prefix is left. Characters without a piece
+are coded by their bytes, at ``UNKNOWN`` below the least score.
 
 Words are encoded once a worker and kept in a bounded memory; nothing is
 shuffled.
@@ -23,6 +25,7 @@ stands for a space.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -34,14 +37,48 @@ MARK = "▁"
 REMEMBERED = 300_000
 #: Characters of text whose words are sorted together.
 TOGETHER = 4_000_000
+#: What a character without a piece scores below the worst piece (fixed value).
+UNKNOWN = 10.0
+UNIGRAM, BPE = 1, 2  # kinds of models, as their files number them (fixed values)
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
+def _fields(data: bytes):
+    """(number, value) of a serialised message's fields: integers and bytes."""
+    at = 0
+
+    def varint():
+        nonlocal at
+        value = shift = 0
+        while True:
+            b = data[at]
+            value, shift, at = value | (b & 127) << shift, shift + 7, at + 1
+            if b < 128:
+                return value
+
+    while at < len(data):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7) or varint()
+            yield key >> 3, data[at : at + size]
+            at += size
+
+
+def kind_of(model: bytes) -> int:
+    """A model file's kind: the third field of its second one, the trainer's settings; unigram where it is not said."""
+    return next((v for n, settings in _fields(model) if n == 2 for k, v in _fields(settings) if k == 3), UNIGRAM)
+
+
 class Pieces:
     def __init__(self, path: str, remembered: int = REMEMBERED):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        kind = kind_of(model.serialized_model_proto())
+        if kind not in (UNIGRAM, BPE):
+            raise ValueError("the model is neither unigram nor BPE")
         self.ids: dict[str, int] = {}
         self.score: dict[str, float] = {}
         self.bytes_of: list[bytes] = []
@@ -59,6 +96,19 @@ class Pieces:
                 self.bytes_of.append(piece.encode())
         if any(MARK in p.lstrip(MARK) for p in self.ids) or len(self.bytes_of) > 1 << 16:
             raise ValueError("pieces must hold the mark at their start only, and ids fit 16 bits")
+        self._set_up(kind == UNIGRAM, remembered)
+
+    @classmethod
+    def of(cls, scores: dict[str, float], unigram: bool, remembered: int = REMEMBERED) -> Pieces:
+        """From pieces with their scores, numbered as they come after the 256 bytes."""
+        out = cls.__new__(cls)
+        out.score, out.ids = dict(scores), {p: 256 + k for k, p in enumerate(scores)}
+        out.byte_ids, out.bytes_of = list(range(256)), [bytes([b]) for b in range(256)] + [p.encode() for p in scores]
+        out._set_up(unigram, remembered)
+        return out
+
+    def _set_up(self, unigram: bool, remembered: int) -> None:
+        self.unigram, self.unknown = unigram, min(self.score.values()) - UNKNOWN
         self.longest = max(map(len, self.ids))
         self.whole_newline = any("\n" in p for p in self.ids)
         self.follows: dict[tuple[str, str], bool] = {}
@@ -88,25 +138,39 @@ class Pieces:
 
     def encode_sorted(self, words: list[str]) -> list[list[int]]:
         """Ids of each of ``words``, which are sorted and distinct."""
-        last: list[str] = [""]  # last[d]: the last piece of the first d characters
+        # Of the best path of the first d characters: its score forward[d] and its last piece last[d].
+        forward: list[float] = [0.0]
+        last: list[str] = [""]
         before, out = "", []
-        ids, longest, follows, may_follow = self.ids, self.longest, self.follows, self.may_follow
+        ids, scores, unknown, longest, unigram = self.ids, self.score, self.unknown, self.longest, self.unigram
+        follows, may_follow = self.follows, self.may_follow
         for word in words:
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del last[shared + 1 :]
+            del last[shared + 1 :], forward[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
+                best, own = -math.inf, ""
                 for start in range(max(0, end - longest), end):
                     piece = word[start:end]
-                    if piece in ids or end - start == 1:
-                        key = (last[start], piece)
-                        ok = follows.get(key)
-                        if may_follow(*key) if ok is None else ok:
-                            last.append(piece)
-                            break
-                else:
+                    score = scores.get(piece)
+                    if score is None:
+                        if end - start > 1:
+                            continue
+                        score = unknown
+                    if unigram:
+                        if forward[start] + score > best:
+                            best, own = forward[start] + score, piece
+                        continue
+                    key = (last[start], piece)
+                    ok = follows.get(key)
+                    if may_follow(*key) if ok is None else ok:
+                        best, own = forward[start] + score, piece
+                        break
+                if not own:
                     raise AssertionError(f"no piece ends {word[:end]!r}")
+                forward.append(best)
+                last.append(own)
             pieces, end = [], len(word)
             while end:
                 pieces.append(last[end])

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import text_bytes, written
+from lodestone.llm.common import text_bytes, unused, written
 from lodestone.llm.components import connected_components
 
 SHINGLE = 4
@@ -262,8 +262,10 @@ def dedup(docs: DataFrame) -> DataFrame:
     null or repeated: rows leave only for another of their own component.
     """
     fp = F.pandas_udf(_fingerprints_of, "long")("text")
-    every = written(docs.withColumns({"__fp": fp, "__row": F.monotonically_increasing_id()}), "rows")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__fp").alias("fp"), F.col("__row").alias("row")))
-    member = _roots(written(every.groupBy(F.col("__fp").alias("fp")).agg(first.alias("first")), "distinct"))
-    keep = member.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
-    return every.hint("shuffle_hash").join(keep, "__row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    print_, row = unused("__fp", docs), unused("__row", docs)
+    every = written(docs.withColumns({print_: fp, row: F.monotonically_increasing_id()}), "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(print_).alias("fp"), F.col(row).alias("row")))
+    member = _roots(written(every.groupBy(F.col(print_).alias("fp")).agg(first.alias("first")), "distinct"))
+    keep = member.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    keep = written(keep, "keep").hint("shuffle_hash")  # the side that a semi join can hash, so that texts are not sorted
+    return every.join(keep, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -210,6 +210,58 @@ def test_pieces_equal_the_library(spark, sf_dir, odd_docs, no_docs):
     assert pieces.digest(no_docs).count() == 0
 
 
+def slow_paths(word, scores, unknown):
+    """(score, pieces) of every way to cut a word."""
+    if not word:
+        return [(0.0, [])]
+    out = []
+    for k in range(1, len(word) + 1):
+        piece = word[:k]
+        if piece in scores or k == 1:
+            out += [(scores.get(piece, unknown) + s, [piece, *rest]) for s, rest in slow_paths(word[k:], scores, unknown)]
+    return out
+
+
+def test_unigram_paths_are_the_best_of_all():
+    rng = np.random.default_rng(6)
+    letters = ["a", "b", "c", "▁"]
+    for _ in range(20):
+        vocabulary = {"▁": -3.0, **{"".join(rng.choice(letters[:3], rng.integers(1, 5))): float(-rng.integers(1, 2000)) / 100 for _ in range(25)}}
+        vocabulary |= {"▁" + p: s - 0.37 for p, s in list(vocabulary.items())[1::2]}
+        p = pieces.Pieces.of(vocabulary, unigram=True)
+        words = sorted({"▁" + "".join(rng.choice(["a", "b", "c", "é"], rng.integers(1, 9))) for _ in range(60)})
+        for word, ids in zip(words, p.encode_sorted(words), strict=True):
+            best = max(s for s, _ in slow_paths(word, vocabulary, p.unknown))
+            at, total = 0, 0.0
+            found = b"".join(map(p.bytes_of.__getitem__, ids)).decode()
+            assert found == word
+            while at < len(ids):
+                if ids[at] >= 256:
+                    total += p.score[p.bytes_of[ids[at]].decode()]
+                    at += 1
+                else:  # a letter's bytes
+                    total += p.unknown
+                    at += len(next(c for c in "é▁abc" if ids[at : at + len(c.encode())] == list(c.encode())).encode())
+            assert total == pytest.approx(best)
+
+
+def test_merged_paths_of_a_small_vocabulary():
+    scores = {c: -10.0 - k for k, c in enumerate("abc▁")} | {"ab": -1.0, "bc": -2.0, "abc": -3.0, "▁a": -4.0, "ca": -5.0}
+    p = pieces.Pieces.of(scores, unigram=False)
+    rng = np.random.default_rng(8)
+    words = sorted({"▁" + "".join(rng.choice(["a", "b", "c"], rng.integers(1, 12))) for _ in range(500)})
+    for word, ids in zip(words, p.encode_sorted(words), strict=True):
+        assert [p.bytes_of[i].decode() for i in ids] == p.merged(word)
+
+
+def test_a_model_files_kind_is_read():
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=wordids.vocabulary("piece_bpe_32k.model"))
+    assert pieces.kind_of(model.serialized_model_proto()) == pieces.BPE
+    assert not pieces.Pieces(wordids.vocabulary("piece_bpe_32k.model")).unigram
+
+
 # Secrets
 
 
