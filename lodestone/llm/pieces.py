@@ -34,12 +34,13 @@ from pyspark.sql import DataFrame
 from lodestone.llm.wordids import LONGEST_KEY, crc_of, vocabulary
 
 MARK = "▁"
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 #: Characters of text whose words are sorted together.
 TOGETHER = 4_000_000
 #: What a character without a piece scores below the worst piece (fixed value).
 UNKNOWN = 10.0
 UNIGRAM, BPE = 1, 2  # kinds of models, as their files number them (fixed values)
+_SHORT = (2, 1)
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -109,23 +110,37 @@ class Pieces:
 
     def _set_up(self, unigram: bool, remembered: int) -> None:
         self.unigram, self.unknown = unigram, min(self.score.values()) - UNKNOWN
-        self.longest = max(map(len, self.ids))
+        # Of each three characters, how long the pieces are that end in them; any two or one may be a piece.
+        sizes: dict[str, set[int]] = {}
+        for p in self.ids:
+            if len(p) > 2:
+                sizes.setdefault(p[-3:], set()).add(len(p))
+        self.sizes = {tail: (*sorted(found, reverse=True), *_SHORT) for tail, found in sizes.items()}
         self.whole_newline = any("\n" in p for p in self.ids)
         self.follows: dict[tuple[str, str], bool] = {}
         self.remembered, self.words, self.older = remembered, {}, {}
 
     def merged(self, text: str) -> list[str]:
         """Greedy merging of a short text: the best pair first, of equals the leftmost."""
-        parts = list(text)
-        while True:
-            best = None
-            for k in range(len(parts) - 1):
-                s = self.score.get(parts[k] + parts[k + 1])
-                if s is not None and (best is None or s > best[0]):
-                    best = (s, k)
-            if best is None:
-                return parts
-            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+        return self._merge(list(text), 0)
+
+    def _merge(self, parts: list[str], edge: int) -> list[str]:
+        """Merges ``parts``; with an edge, a number of parts, gives none if a merge goes over it."""
+        get, none = self.score.get, -math.inf
+        pairs = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs and (best := max(pairs)) > none:
+            k = pairs.index(best)
+            if edge:
+                if k == edge - 1:
+                    return []
+                edge -= k < edge
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del pairs[k]
+            if k < len(pairs):
+                pairs[k] = get(parts[k] + parts[k + 1], none)
+            if k:
+                pairs[k - 1] = get(parts[k - 1] + parts[k], none)
+        return parts
 
     def may_follow(self, before: str, piece: str) -> bool:
         key = (before, piece)
@@ -133,7 +148,8 @@ class Pieces:
         if known is None:
             if len(self.follows) > 500_000:
                 self.follows.clear()
-            known = self.follows[key] = self.merged(before + piece) == ([before, piece] if before else [piece])
+            merged = self._merge([*before, *piece], len(before))
+            known = self.follows[key] = merged == ([before, piece] if before else [piece])
         return known
 
     def encode_sorted(self, words: list[str]) -> list[list[int]]:
@@ -142,7 +158,7 @@ class Pieces:
         forward: list[float] = [0.0]
         last: list[str] = [""]
         before, out = "", []
-        ids, scores, unknown, longest, unigram = self.ids, self.score, self.unknown, self.longest, self.unigram
+        ids, score_of, unknown, unigram, sizes_of = self.ids, self.score.get, self.unknown, self.unigram, self.sizes.get
         follows, may_follow = self.follows, self.may_follow
         for word in words:
             shared, most = 0, min(len(before), len(word))
@@ -151,11 +167,14 @@ class Pieces:
             del last[shared + 1 :], forward[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
                 best, own = -math.inf, ""
-                for start in range(max(0, end - longest), end):
+                for size in sizes_of(word[end - 3 : end], _SHORT) if end > 2 else _SHORT:
+                    start = end - size
+                    if start < 0:
+                        continue
                     piece = word[start:end]
-                    score = scores.get(piece)
+                    score = score_of(piece)
                     if score is None:
-                        if end - start > 1:
+                        if size > 1:
                             continue
                         score = unknown
                     if unigram:
@@ -207,11 +226,12 @@ class Pieces:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         units = [self.units(t) for t in texts]
-        missing = {u for us in units for u in us if u not in self.words}
+        distinct = set().union(*units)
+        missing = distinct - self.words.keys()
         if len(self.words) + len(missing) > self.remembered:
             self.older, self.words = self.words, {}
-            missing = {u for us in units for u in us}
-        kept = {u: self.older[u] for u in missing if u in self.older}
+            missing = distinct
+        kept = {u: self.older[u] for u in missing & self.older.keys()}
         new = sorted(missing - kept.keys())
         kept |= {u: np.array(i, "<u2").tobytes() for u, i in zip(new, self.encode_sorted(new), strict=True)}
         known = self.words | kept if any(len(u) > LONGEST_KEY for u in kept) else self.words
