@@ -2,19 +2,26 @@
 
 Training documents are those whose CRC-32 of doc_id as text is not 2 modulo 7.
 Their tokens (lower-cased words and an end) are counted by a distributed
-aggregation over all of them. The most frequent ``HEAD`` tokens, a fixed number,
-go to every task; counts of all others reach the documents by a join.
-
-The model predicts one of ``CLASSES`` classes, the most frequent tokens and one
-class for the rest, from the two classes before: the score of class w is
-``b[w] + (c1 * r[w1] + c2 * r[w2]) . q[w]``. Each partition trains its own copy
-in numpy over all its tokens, from the same start, with noise-contrastive
-estimation; copies are averaged, weighted by tokens, by an aggregation over
-parameters. Scoring normalises exactly: contexts of a batch are multiplied with
-all classes as matrices, and each context's sum is remembered. A token of the
-rest class has that class's probability times its own among the rest, add-one
-smoothed with all unseen words as one, so a text's tokens have a proper
-distribution.
+aggregation over all of them. The most frequent ``HEAD`` tokens go to every
+task; counts of all others reach the documents by a join.
+
+Tokens have classes: the ``TOP`` most frequent one each, the rest of the head
+one for each band of ``BAND`` tokens of like frequency (so classes grow with the
+vocabulary), and one for all tokens beyond the head. The model is a product of
+two log-bilinear factors. A token's class follows the classes before it:
+``b[k] + (c1 * r[k1] + c2 * r[k2]) . q[k]``; a token of a band follows the class
+before it: ``v[w] + s[k1] . u[w]`` among its band. Scoring normalises both
+exactly, each context's sum is remembered. A token beyond the head has that
+class's probability times its own among the rest, add-one smoothed with all
+unseen words as one, so a text's tokens have a proper distribution; this last
+part is unigram.
+
+Training runs in ``ROUNDS``. Documents are dealt by hash of doc_id to rounds and
+to shards of about ``SHARD`` tokens, which are sorted, so what a shard learns
+hangs neither on partitions nor on tasks. In a round each shard trains a copy in
+numpy over all its tokens, from the same start; copies are averaged, weighted
+by tokens, by an aggregation over blocks of parameters, and the next round
+starts from the average.
 
 Defined results: a null text counts as empty (the end alone); a null doc_id
 counts as training; repeated rows each get a row; an empty table gives an empty
@@ -33,13 +40,23 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import text_bytes, written
 
-#: Tokens whose counts every task holds.
-HEAD = 65_536
-CLASSES = 1000
-WIDTH = 24
-BATCH = 1024
-NOISE = 32
-RATE = 0.1
+#: Tokens whose counts and parameters every task holds, those with a class each, and those of a band.
+HEAD = 65_536  # ranks fit 16 bits
+TOP = 1000
+BAND = 256
+#: Numbers of each class's and of each word's vectors.
+WIDTH, WORD_WIDTH = 24, 12
+BATCH = 2048
+#: Noise classes of a batch, and noise words of each token of a band.
+NOISE, WORD_NOISE = 32, 2
+RATE = 0.04
+#: What Adagrad's sums start from: a rare row's first steps stay small.
+FIRST = 0.1
+ROUNDS = 2
+#: Training tokens of a shard, and parameters of a block.
+SHARD, BLOCK = 4_000_000, 4096
+#: Shards whose copies are summed at once.
+SUMMED = 64
 #: The end of a text; no word holds a line's end.
 END = b"\n"
 #: Words after which a task's partial counts are passed on.
@@ -47,7 +64,7 @@ FLUSH = 250_000
 #: Tokens scored at once.
 TOGETHER = 1 << 18
 
-_PARTS = ("r", "q", "c", "b")
+_PARTS = ("r", "q", "c", "b", "s", "u", "v")
 
 
 def held_out():
@@ -95,16 +112,22 @@ class Model:
 
     def __init__(self, words: list[bytes], counts: np.ndarray, total: int, distinct: int):
         self.words, self.counts, self.total, self.distinct = words, counts, total, distinct
-        self.classes = min(CLASSES, len(words))  # then the rest class, then the start
-        rest = total - int(counts[: self.classes].sum())
-        self.log_rest = np.log10(max(rest + distinct - self.classes, 0) + 1)
-        share = np.append(counts[: self.classes], max(rest, 1)).astype("f8") + 1
+        self.top, self.of_band = min(TOP, len(words)), BAND
+        self.bands = -(-(len(words) - self.top) // self.of_band)
+        self.classes = self.top + self.bands  # then the rest class, then the start
+        rest = total - int(counts.sum())
+        self.log_rest = np.log10(max(rest + distinct - len(words), 0) + 1)
+        # Of each rank its class, and of each band its words: the last one may be short.
+        self.class_at = np.append(np.minimum(np.arange(len(words)), self.top + (np.arange(len(words)) - self.top) // self.of_band), self.classes)
+        sizes = np.bincount(self.class_at[:-1], weights=counts, minlength=self.classes)
+        share = np.append(sizes, max(rest, 1)) + 1
         self.noise = share / share.sum()
         rng, n = np.random.default_rng(42), self.classes + 2
-        self.r = rng.normal(0, 0.1, (n, WIDTH))
-        self.q = rng.normal(0, 0.1, (n - 1, WIDTH))
-        self.c = np.ones((2, WIDTH))
-        self.b = np.log(self.noise)
+        random = lambda *shape: rng.normal(0, 0.1, shape).astype("f4")
+        self.r, self.q, self.c = random(n, WIDTH), random(n - 1, WIDTH), np.ones((2, WIDTH), "f4")
+        self.b = np.log(self.noise).astype("f4")
+        self.s, self.u = random(n, WORD_WIDTH), random(len(words) - self.top, WORD_WIDTH)
+        self.v = np.log((counts[self.top :] + 1) / np.maximum(sizes[self.class_at[self.top : -1]], 1)).astype("f4")
         self.key = uuid.uuid4().hex
 
     def flat(self) -> np.ndarray:
@@ -114,11 +137,16 @@ class Model:
         at = 0
         for p in _PARTS:
             shape = getattr(self, p).shape
-            setattr(self, p, values[at : at + np.prod(shape)].reshape(shape))
-            at += int(np.prod(shape))
+            setattr(self, p, values[at : at + np.prod(shape, dtype=int)].reshape(shape).astype("f4"))
+            at += int(np.prod(shape, dtype=int))
+        self.key = uuid.uuid4().hex
+
+    def band(self, k: int) -> slice:
+        """The rows of band k's words in u and v."""
+        return slice(k * self.of_band, min((k + 1) * self.of_band, len(self.v)))
 
     def class_of(self, ranks: np.ndarray) -> np.ndarray:
-        return np.where((ranks < 0) | (ranks >= self.classes), self.classes, ranks)
+        return self.class_at[ranks]  # rank -1 is the last: the rest
 
     def contexts(self, classes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The classes one and two before; ``first`` are the places where texts begin."""
@@ -130,21 +158,24 @@ class Model:
         return one, two
 
 
-def _sum_rows(into: np.ndarray, seen: np.ndarray, rows: np.ndarray, grads: np.ndarray) -> None:
-    """An Adagrad step for the rows of ``into`` that occur in ``rows``."""
-    order = np.argsort(rows, kind="stable")
+def _step(rows: np.ndarray, *tables: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+    """An Adagrad step for the rows that occur in ``rows``, in each of some tables (values, their sums, gradients)."""
+    order = np.argsort(rows.astype("u2"), kind="stable")  # of 16 bits, which are sorted by counting
     rows = rows[order]
     at = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    g = np.add.reduceat(grads[order], at, axis=0)
     rows = rows[at]
-    seen[rows] += g * g
-    into[rows] += RATE * g / np.sqrt(seen[rows] + 1e-6)
+    for into, seen, grads in tables:
+        g = np.add.reduceat(grads[order], at, axis=0)
+        sums = seen[rows] + g * g
+        seen[rows] = sums
+        into[rows] += RATE * g / np.sqrt(sums)
 
 
-def train_on(model: Model, one: np.ndarray, two: np.ndarray, target: np.ndarray, seen: dict, rng) -> None:
-    """One pass of noise-contrastive estimation over a run of tokens."""
-    log_noise = np.log(NOISE * model.noise)
+def train_on(model: Model, one: np.ndarray, two: np.ndarray, target: np.ndarray, word: np.ndarray, seen: dict, rng) -> None:
+    """One pass of noise-contrastive estimation over a run of tokens; ``word`` are ranks."""
+    log_noise = np.log(NOISE * model.noise).astype("f4")
     cumulated = np.cumsum(model.noise)
+    sizes = np.minimum(model.of_band, len(model.v) - np.arange(max(model.bands, 1)) * model.of_band)
     for at in range(0, len(target), BATCH):
         w1, w2, w = one[at : at + BATCH], two[at : at + BATCH], target[at : at + BATCH]
         noise = np.minimum(np.searchsorted(cumulated, rng.random(NOISE)), len(cumulated) - 1)
@@ -156,12 +187,29 @@ def train_on(model: Model, one: np.ndarray, two: np.ndarray, target: np.ndarray,
         other = h @ model.q[noise].T + model.b[noise] - log_noise[noise]
         down = -1 / (1 + np.exp(-other.clip(-30, 30)))  # noise: -sigmoid
         gh = up[:, None] * of + down @ model.q[noise]
-        _sum_rows(model.q, seen["q"], np.r_[w, noise], np.vstack([up[:, None] * h, down.T @ h]))
-        _sum_rows(model.b, seen["b"], np.r_[w, noise], np.r_[up, down.sum(axis=0)])
-        _sum_rows(model.r, seen["r"], np.r_[w1, w2], np.vstack([gh * model.c[0], gh * model.c[1]]))
+        of_classes = np.vstack([up[:, None] * h, down.T @ h]), np.r_[up, down.sum(axis=0)]
+        _step(np.r_[w, noise], (model.q, seen["q"], of_classes[0]), (model.b, seen["b"], of_classes[1]))
+        _step(np.r_[w1, w2], (model.r, seen["r"], np.vstack([gh * model.c[0], gh * model.c[1]])))
         gc = np.vstack([(gh * r1).sum(axis=0), (gh * r2).sum(axis=0)])
         seen["c"] += gc * gc
-        model.c += RATE * gc / np.sqrt(seen["c"] + 1e-6)
+        model.c += RATE * gc / np.sqrt(seen["c"])
+
+        # Words within their bands, against words drawn evenly from the same band.
+        inside = np.flatnonzero((w >= model.top) & (w < model.classes))
+        if not len(inside):
+            continue
+        band, k1 = w[inside] - model.top, w1[inside]
+        x = word[at : at + BATCH][inside] - model.top
+        size = sizes[band]
+        drawn = band[:, None] * model.of_band + (rng.random((len(x), WORD_NOISE)) * size[:, None]).astype(np.intp)
+        every = np.concatenate([x[:, None], drawn], axis=1)
+        h, of = model.s[k1], model.u[every]
+        score = np.einsum("nw,njw->nj", h, of) + model.v[every] - np.log(WORD_NOISE / size)[:, None].astype("f4")
+        grad = -1 / (1 + np.exp(-score.clip(-30, 30)))
+        grad[:, 0] += 1
+        of_words = (grad[:, :, None] * h[:, None, :]).reshape(len(x) * (WORD_NOISE + 1), -1), grad.reshape(-1)
+        _step(every.reshape(-1), (model.u, seen["u"], of_words[0]), (model.v, seen["v"], of_words[1]))
+        _step(k1, (model.s, seen["s"], np.einsum("nj,njw->nw", grad, of)))
 
 
 def _ranked(texts: list[bytes], ranks: _Ranks) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
@@ -184,59 +232,114 @@ def together(texts: list[bytes]):
         yield at, len(texts)
 
 
-def train(texts: DataFrame, model: Model) -> Model:
-    """Trains a copy in each partition of ``texts`` (text) and averages them."""
+def _averaged(copies: DataFrame, shards: int) -> np.ndarray | None:
+    """The mean of copies (shard, k, n, v), blocks v of parameters, weighted by n; summed in order of shards."""
+
+    def summed(table):
+        import pyarrow as pa
+
+        order = np.argsort(np.asarray(table.column("shard")))
+        n = np.asarray(table.column("n"))[order]
+        v = np.asarray(table.column("v").combine_chunks().flatten(), "f8").reshape(len(n), -1)[order]
+        total = (v * n[:, None]).sum(axis=0) / n.sum()
+        first = [np.asarray(table.column(c))[order[:1]] for c in ("shard", "k")]
+        return pa.table({"shard": first[0], "k": first[1], "n": [n.sum()], "v": pa.array([total.astype("f4")], pa.list_(pa.float32()))})
+
+    schema = "shard long, k long, n double, v array<float>"
+    if shards > SUMMED:
+        copies = copies.groupBy("k", F.floor(F.col("shard") / SUMMED)).applyInArrow(summed, schema)
+    found = copies.groupBy("k").applyInArrow(summed, schema).toArrow()
+    if not found.num_rows:
+        return None
+    parts = dict(zip(found.column("k").to_pylist(), found.column("v").combine_chunks(), strict=True))
+    return np.concatenate([np.asarray(parts[k].values) for k in range(len(parts))])
+
+
+def train(docs: DataFrame, model: Model) -> Model:
+    """Trains copies on the shards of ``docs`` (doc_id, text) and averages them, round by round."""
+    shards = max(1, -(-model.total // SHARD))
+    key = F.xxhash64(F.lit("lm"), F.col("doc_id"))
+    dealt = docs.select(F.pmod(key, F.lit(ROUNDS)).alias("round"), F.pmod(F.floor(key / ROUNDS), F.lit(shards)).alias("shard"), "doc_id", "text")
 
     def run(batches):
         import pyarrow as pa
 
         ranks = _Ranks((w, k) for k, w in enumerate(model.words))
-        rng, n = np.random.default_rng(7), 0
-        seen = {p: np.zeros_like(getattr(model, p)) for p in _PARTS}
-        for b in batches:
-            data = text_bytes(b.column(0))
-            for i, j in together(data):
-                _, flat, first = _ranked(data[i:j], ranks)
-                classes = model.class_of(flat)
-                train_on(model, *model.contexts(classes, first), classes, seen, rng)
-                n += len(classes)
-        if n:
+        start, now, n, rng, seen = model.flat(), None, 0, None, {}
+
+        def copy():
             values = model.flat()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(values))), pa.array(values * n), pa.array(np.full(len(values), n))], names=["k", "v", "n"]
-            )
-
-    copies = texts.mapInArrow(run, "k long, v double, n long")
-    found = copies.groupBy("k").agg((F.sum("v") / F.sum("n")).alias("v")).toArrow()
-    if found.num_rows:
-        values = np.zeros(found.num_rows)
-        values[np.asarray(found.column("k"))] = np.asarray(found.column("v"))
-        model.set_flat(values)
+            blocks = [values[at : at + BLOCK] for at in range(0, len(values), BLOCK)]
+            k = len(blocks)
+            columns = [pa.array([now] * k, pa.int64()), pa.array(range(k), pa.int64()), pa.array([float(n)] * k), pa.array(blocks, pa.list_(pa.float32()))]
+            return pa.RecordBatch.from_arrays(columns, names=["shard", "k", "n", "v"])
+
+        for b in batches:
+            data, of = text_bytes(b.column(1)), np.asarray(b.column(0))
+            edges = np.flatnonzero(np.r_[True, of[1:] != of[:-1], True]).tolist()
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if of[lo] != now:
+                    if now is not None:
+                        yield copy()
+                    now, n, rng = int(of[lo]), 0, np.random.default_rng(int(of[lo]))
+                    model.set_flat(start.copy())
+                    seen = {p: np.full_like(getattr(model, p), FIRST) for p in _PARTS}
+                for i, j in together(data[lo:hi]):
+                    _, flat, first = _ranked(data[lo + i : lo + j], ranks)
+                    classes = model.class_of(flat)
+                    train_on(model, *model.contexts(classes, first), classes, flat, seen, rng)
+                    n += len(classes)
+        if now is not None:
+            yield copy()
+
+    for r in range(ROUNDS):
+        # A shard's texts come in one order whatever the partitions: runs of equal ids are ordered by their texts.
+        mine = dealt.where(F.col("round") == r).repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "text")
+        values = _averaged(mine.select("shard", "text").mapInArrow(run, "shard long, k long, n double, v array<float>"), shards)
+        if values is not None:
+            model.set_flat(values)
     return model
 
 
-_SUMS: dict[str, np.ndarray] = {}
+_SUMS: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
 
+def _log_sums(score: np.ndarray) -> np.ndarray:
+    top = score.max(axis=1, keepdims=True)
+    return top[:, 0] + np.log(np.exp(score - top).sum(axis=1, dtype="f8"))
 
-def log_probabilities(model: Model, classes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Natural log-probability of each class after the two before it."""
+
+def log_probabilities(model: Model, ranks: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Natural log-probability of each token after those before it; of one beyond the head, that of its class."""
+    size = model.classes + 2
     if model.key not in _SUMS:
         _SUMS.clear()
-        _SUMS[model.key] = np.full((model.classes + 2) ** 2, np.nan)
-    sums = _SUMS[model.key]
+        _SUMS[model.key] = np.full(size * size, np.nan), np.full(size * max(model.bands, 1), np.nan)
+    sums, in_band = _SUMS[model.key]
+    classes = model.class_of(ranks)
     one, two = model.contexts(classes, first)
     r1, r2 = model.c[0] * model.r, model.c[1] * model.r
-    context = one * (model.classes + 2) + two
+    context = one * size + two
     new = np.unique(context)
     new = new[np.isnan(sums[new])]
-    q, b = model.q.astype("f4").T, model.b.astype("f4")
+    q = model.q.T
     for at in range(0, len(new), 1024):
         k = new[at : at + 1024]
-        score = (r1[k // (model.classes + 2)] + r2[k % (model.classes + 2)]).astype("f4") @ q + b
-        top = score.max(axis=1, keepdims=True)
-        sums[k] = top[:, 0] + np.log(np.exp(score - top).sum(axis=1, dtype="f8"))
-    own = np.einsum("ij,ij->i", r1[one] + r2[two], model.q[classes]) + model.b[classes]
-    return own - sums[context]
+        sums[k] = _log_sums((r1[k // size] + r2[k % size]) @ q + model.b)
+    out = np.einsum("ij,ij->i", r1[one] + r2[two], model.q[classes]) + model.b[classes] - sums[context]
+
+    inside = np.flatnonzero((classes >= model.top) & (classes < model.classes))
+    context = (classes[inside] - model.top) * size + one[inside]  # by band, so that a band's contexts are together
+    new = np.unique(context)
+    new = new[np.isnan(in_band[new])]
+    band = new // size
+    for k in np.unique(band).tolist():
+        mine = new[np.searchsorted(band, k) : np.searchsorted(band, k, "right")]
+        words = model.band(k)
+        in_band[mine] = _log_sums(model.s[mine % size] @ model.u[words].T + model.v[words])
+    x = ranks[inside] - model.top
+    out[inside] += np.einsum("ij,ij->i", model.s[one[inside]], model.u[x]) + model.v[x] - in_band[context]
+    return out
 
 
 _SCORED = (
@@ -263,10 +366,8 @@ def _score_all(docs: DataFrame, model: Model) -> DataFrame:
             for i, j in together(data):
                 words, flat, first = _ranked(data[i:j], ranks)
                 sizes = np.diff(np.r_[first, len(flat)])
-                classes = model.class_of(flat)
-                logs = log_probabilities(model, classes, first) / np.log(10)
-                rest = classes == model.classes
-                logs += np.where(rest, log_c[flat] - model.log_rest, 0.0)
+                logs = log_probabilities(model, flat, first) / np.log(10)
+                logs -= np.where(flat < 0, model.log_rest, 0.0)  # the rest's counts come later
                 tails = []
                 at = np.flatnonzero(flat < 0)
                 for lo, hi, f, ws in zip(np.searchsorted(at, first), np.searchsorted(at, first + sizes), first.tolist(), words, strict=True):
@@ -286,12 +387,12 @@ def _score_all(docs: DataFrame, model: Model) -> DataFrame:
 
 def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model of the training documents of ``docs``, and all their counts (token, c)."""
-    texts = docs.where(~held_out()).select("text")
-    counts = written(count_tokens(texts), "counts")
+    own = docs.where(~held_out()).select(F.col("doc_id").cast("long"), "text")
+    counts = written(count_tokens(own.select("text")), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     head = counts.orderBy(F.desc("c"), "token").limit(HEAD).toArrow()
     words = [w.encode() for w in head.column("token").to_pylist()]
-    if END not in words[:CLASSES]:  # the end has a class of its own, or there are no texts
+    if END not in words[:TOP]:  # the end has a class of its own, or there are no texts
         c = dict(zip(words, head.column("c").to_pylist(), strict=True)).get(END)
         if c is None and words:
             c = counts.where(F.col("token") == END.decode()).first()[1]
@@ -300,7 +401,7 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
         words, head_counts = [x[0] for x in values], np.array([x[1] for x in values], "i8")
     else:
         head_counts = np.asarray(head.column("c"), "i8")
-    return train(texts, Model(words, head_counts, int(total), int(distinct))), counts
+    return train(own, Model(words, head_counts, int(total), int(distinct))), counts
 
 
 def score(docs: DataFrame) -> DataFrame:

@@ -38,14 +38,78 @@ def test_base_scores_equal_brute_force_and_the_model_beats_them(spark, sf_dir, o
     assert lm.score(no_docs).count() == 0
 
 
-def test_class_probabilities_sum_to_one():
+def small_model(monkeypatch):
+    monkeypatch.setattr(lm, "TOP", 12)
+    monkeypatch.setattr(lm, "BAND", 7)
     words = [lm.END, *(f"w{k}".encode() for k in range(30))]
     model = lm.Model(words, np.arange(40, 9, -1), 2000, 100)
     rng = np.random.default_rng(0)
-    model.q, model.r = rng.normal(0, 1, model.q.shape), rng.normal(0, 1, model.r.shape)
-    for a, b in ((0, 1), (5, 5), (model.classes, 3)):
-        p = [math.exp(lm.log_probabilities(model, np.array([a, b, k]), np.array([0]))[2]) for k in range(model.classes + 1)]
-        assert abs(sum(p) - 1) < 1e-5
+    for p in ("q", "r", "s", "u", "v"):
+        setattr(model, p, rng.normal(0, 1, getattr(model, p).shape).astype("f4"))
+    return model
+
+
+def test_probabilities_of_words_sum_to_one(monkeypatch):
+    model = small_model(monkeypatch)
+    assert (model.top, model.bands, model.classes) == (12, 3, 15)
+    for a, b in ((0, 1), (5, 5), (-1, 3), (30, 14), (13, -1)):
+        p = [math.exp(lm.log_probabilities(model, np.array([a, b, k]), np.array([0]))[2]) for k in range(-1, len(model.words))]
+        assert abs(sum(p) - 1) < 1e-5 and min(p) > 0
+
+
+def slow_score(model, counts, text):
+    """log10 probability of a text, token by token, each sum made anew in double precision."""
+    rank = {w.decode(): k for k, w in enumerate(model.words)}
+    f8 = {p: np.asarray(getattr(model, p), "f8") for p in lm._PARTS}
+    k1 = k2 = model.classes + 1
+    total = 0.0
+    for t in tokens(text):
+        t = "\n" if t is None else t
+        k = rank.get(t, -1)
+        c = model.classes if k < 0 else k if k < model.top else model.top + (k - model.top) // lm.BAND
+        score = (f8["c"][0] * f8["r"][k1] + f8["c"][1] * f8["r"][k2]) @ f8["q"].T + f8["b"]
+        total += score[c] - np.log(np.exp(score).sum())
+        if model.top <= c < model.classes:
+            words = range((c - model.top) * lm.BAND, min((c - model.top + 1) * lm.BAND, len(model.words) - model.top))
+            score = {w: f8["s"][k1] @ f8["u"][w] + f8["v"][w] for w in words}
+            total += score[k - model.top] - np.log(sum(map(np.exp, score.values())))
+        if k < 0:
+            total += np.log(counts[t] + 1) - model.log_rest * np.log(10)
+        k1, k2 = c, k1
+    return total / np.log(10)
+
+
+def test_scores_equal_a_slow_computation_and_do_not_hang_on_partitions(spark, sf_dir, monkeypatch):
+    for name, value in (("HEAD", 900), ("TOP", 100), ("BAND", 64), ("SHARD", 20_000)):
+        monkeypatch.setattr(lm, name, value)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model, counts = lm.fit(docs)
+    counts = Counter({r["token"]: r["c"] for r in counts.collect()})
+    assert model.total > 3 * lm.SHARD and model.bands == 13
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs.repartition(7)).collect()}
+    again = {r["doc_id"]: r["score"] for r in lm.score(docs.coalesce(1)).collect()}
+    for d in sorted(texts)[:60]:
+        want = slow_score(model, counts, texts[d])
+        assert abs(got[d] - want) < 1e-4 * abs(want)
+    assert all(abs(got[d] - again[d]) < 1e-6 * abs(got[d]) for d in texts)
+
+
+def test_the_model_learns_what_follows(monkeypatch):
+    """Pairs of rare words that always go together: the class factor cannot tell words of a band apart."""
+    monkeypatch.setattr(lm, "TOP", 10)
+    monkeypatch.setattr(lm, "BAND", 8)
+    rng = np.random.default_rng(3)
+    words = [lm.END, *(f"w{k}".encode() for k in range(40))]
+    model = lm.Model(words, np.full(41, 100), 4100, 41)
+    # Word 1 is followed by 20, 2 by 21, 3 by 22: all of the same band.
+    ranks = np.array([x for _ in range(20_000) for k in [rng.integers(1, 4)] for x in (k, 19 + k)])
+    first = np.arange(0, len(ranks), 2)
+    classes = model.class_of(ranks)
+    seen = {p: np.full_like(getattr(model, p), lm.FIRST) for p in lm._PARTS}
+    lm.train_on(model, *model.contexts(classes, first), classes, ranks, seen, rng)
+    p = lambda a, b: math.exp(lm.log_probabilities(model, np.array([a, b]), np.array([0]))[1])
+    assert all(p(k, 19 + k) > 0.5 for k in (1, 2, 3)) and p(1, 21) < 0.1
 
 
 def links_of(vectors, least=0.95):
@@ -185,31 +249,6 @@ def test_levels_and_passages():
     assert quotes.passages(["a", "", "b"]) == [["a", "", "b"], ["a"], ["b"]]
     assert quotes.passage_hash([" A  b"]) == quotes.passage_hash(["a", "B"])
 
-
-def test_pipeline_equals_its_stages_by_brute_force(spark, sf_dir):
-    import corpus_pipeline as p
-    from test_text_operators import slow_components
-
-    from lodestone.llm import quality_classifier, quality_rules, secrets, simhash, wordids
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
-    good = {r["doc_id"] for r in quality_classifier.quality_report(docs, labels).where("kept").collect()}
-    ruled = {r["doc_id"] for r in quality_rules.quality_report(docs.select("doc_id", "text")).where("kept").collect()}
-    left = sorted(good & ruled)
-    one = sorted({c for _, _, c in slow_components([(d, rows[d]) for d in left])})
-    w = wordids.word_ids(wordids.vocabulary())
-    want = {d: len(w.ids(secrets.masked(rows[d]).encode())) + 1 for d in one}
-    out = p.run(spark, sf_dir).collect()
-    got = {}
-    for r in out:
-        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
-    assert got == want
-    assert [n for n, _ in p.STAGES] == ["quality_classifier", "quality_rules", "simhash", "secrets", "packing"]
-    assert simhash.dedup(docs).columns == docs.columns
-
-
 def test_scratch_tables_can_be_discarded(spark, odd_docs):
     from pathlib import Path
 
