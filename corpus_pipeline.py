@@ -1,4 +1,13 @@
-"""A training-data pipeline over ``documents``, from raw rows to packed sequences."""
+"""A training-data pipeline over ``documents``, from raw rows to packed sequences.
+
+Defined results, for every stage: a null text counts as empty, and stays null
+until it is packed as the end id alone, if the rules did not reject it; null or
+repeated doc_ids are rows like others (near-duplicates leave by row, not by
+id); a null source or lang is a site of its own; without labels of both kinds
+the classifier rejects nothing; empty tables give empty tables; further columns
+are kept up to the packing, whatever their names. All stages but the last
+return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
