@@ -18,13 +18,15 @@ SEPARATORS = r"[ \t\n\x0B\f\r]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (single-machine tests) a temporary
+    Only where none is named and the master is local (tests) a temporary
     folder is made, once a session.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("spark.lodestone.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="lodestone-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         found = f"file://{folder}"
