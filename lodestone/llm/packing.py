@@ -35,6 +35,8 @@ WIDTH = 2048
 END_ID = 1
 OPEN_WINDOWS = 64
 MIN_PIECE = 16
+#: Bytes of texts whose ids are made together.
+CHUNK = 3 << 20
 #: Partitions whose leftovers one group of the second step merges.
 GROUPED = 64
 
@@ -148,7 +150,7 @@ def pack(
 
         for b in batches:
             rows: list[tuple] = []
-            for doc, ids in zip(b.column(0).to_pylist(), each(b.column(1), end_id), strict=True):
+            for doc, ids in zip(b.column(0).to_pylist(), each(b.column(1), end_id, CHUNK), strict=True):
                 for window in packer.add(doc, ids):
                     rows += _rows(window, n)
                     n += 1

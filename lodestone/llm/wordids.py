@@ -19,9 +19,9 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Chunks remembered by one worker process, in each of two generations.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 #: Distinct words, and their bytes, after which those of chunks of texts are forgotten.
-KNOWN, KNOWN_BYTES = 1_000_000, 32 << 20
+KNOWN, KNOWN_BYTES = 700_000, 24 << 20
 #: Longer chunks are encoded each time.
 LONGEST_KEY = 64
 #: Bytes of texts that are split together, and words whose ids are gathered at once.
@@ -87,11 +87,12 @@ class WordIds(dict):
             text = text.lower()
         return np.frombuffer(b"".join(map(self.__getitem__, text.split())), "<u2").astype("<u4")
 
-    def each(self, texts, end_id: int) -> Iterator[np.ndarray]:
+    def each(self, texts, end_id: int, chunk: int = CHUNK) -> Iterator[np.ndarray]:
         """The ids of each text of an Arrow string column, with an end id; null counts as empty.
 
-        Texts are split together and each distinct word of about ``CHUNK`` bytes is
-        looked up once; the ids then are gathered by the words' numbers.
+        Texts are split together and each distinct word of about ``chunk`` bytes is
+        looked up once; the ids then are gathered by the words' numbers. Larger
+        chunks take less time and some ten times their size of memory.
         """
         import pyarrow as pa
         import pyarrow.compute as pc
@@ -100,8 +101,9 @@ class WordIds(dict):
         upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         at = 0
         while at < len(texts):
-            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHUNK, "right")))
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + chunk, "right")))
             yield from self._chunk(texts.slice(at, end - at), end_id)
+            pa.default_memory_pool().release_unused()
             at = end
 
     def _numbers(self, words) -> np.ndarray:
