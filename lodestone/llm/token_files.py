@@ -33,6 +33,8 @@ from lodestone.llm.wordids import crc_of, vocabulary, word_ids
 END_ID = 1
 MAGIC = b"LTF2"
 _HEAD = "<4sQQQ"
+#: Bytes of texts whose ids are made together.
+CHUNK = 20 << 20
 #: Ids after which a segment is closed, at a document's end.
 SEGMENT = 1 << 23
 #: Parts whose sizes are summed as one before offsets are added up over all.
@@ -84,7 +86,7 @@ def write_tokens(docs: DataFrame, path: str | None = None, tokenizer: str | None
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["segment"])
 
         for b in batches:
-            for doc, ids in zip(b.column(0).to_pylist(), each(b.column(1), end_id), strict=True):
+            for doc, ids in zip(b.column(0).to_pylist(), each(b.column(1), end_id, CHUNK), strict=True):
                 keys.append(doc)
                 parts.append(ids)
                 total += len(ids)
