@@ -76,6 +76,16 @@ def test_sparse_sites_take_their_hosts_rate(spark):
     assert one["good"] > 0.88 and one["bad"] < 0.12
 
 
+def test_sparse_sites_shrink_toward_their_host(spark):
+    rows = [("a", "x", 0.9)] * 300 + [("a", "y", 0.1)] + [("b", "x", 0.2)] * 300 + [("b", "z", 0.9)]
+    df = spark.createDataFrame(rows, "host string, path string, p double")
+    sites, found = Q.site_table(df)
+    prior = Q.prior_without(F.col("p"), F.struct(*sites.columns), found)
+    got = {(r["host"], r["path"]): r["prior"] for r in df.join(sites, ["host", "path"]).select("host", "path", prior.alias("prior")).distinct().collect()}
+    assert got["a", "x"] > 0.8 > 0.3 > got["b", "x"]
+    assert got["a", "y"] > 0.1 and got["b", "z"] < 0.9
+
+
 def test_odd_rows_and_clashing_names(spark, docs, labels, odd_docs, no_docs):
     names = ["odds", "prior", "score", "host", "path", "n", "good", "__found", "__site", "classifier"]
     clash = odd_docs.select("*", *(F.lit(k).alias(n) for k, n in enumerate(names)))

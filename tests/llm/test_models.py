@@ -103,7 +103,7 @@ def test_the_model_learns_what_follows(monkeypatch):
     words = [lm.END, *(f"w{k}".encode() for k in range(40))]
     model = lm.Model(words, np.full(41, 100), 4100, 41)
     # Word 1 is followed by 20, 2 by 21, 3 by 22: all of the same band.
-    ranks = np.array([x for _ in range(20_000) for k in [rng.integers(1, 4)] for x in (k, 19 + k)])
+    ranks = np.array([x for _ in range(60_000) for k in [rng.integers(1, 4)] for x in (k, 19 + k)])
     first = np.arange(0, len(ranks), 2)
     classes = model.class_of(ranks)
     seen = {p: np.full_like(getattr(model, p), lm.FIRST) for p in lm._PARTS}

@@ -350,9 +350,3 @@ def test_classifier_keeps_the_good_and_rejects_the_bad(spark, sf_dir, odd_docs,
     assert quality_classifier.quality_report(odd_docs, labels).count() == odd_docs.count()
     assert quality_classifier.quality_report(no_docs, labels).count() == 0
 
-
-def test_sparse_sites_shrink_toward_their_host(spark):
-    rows = [("a", "x", 0.9)] * 300 + [("a", "y", 0.1)] + [("b", "x", 0.2)] * 300 + [("b", "z", 0.9)]
-    got = {(r["host"], r["path"]): r["prior"] for r in quality_classifier.site_posteriors(spark.createDataFrame(rows, "host string, path string, p double")).collect()}
-    assert got["a", "x"] > 0.8 > 0.3 > got["b", "x"]
-    assert got["a", "y"] > 0.1 and got["b", "z"] < 0.9
