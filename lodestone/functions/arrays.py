@@ -159,3 +159,9 @@ def centre_padded(samples: Column, least: int) -> Column:
 
 def real_time_factor(seconds: Column, audio_seconds: Column) -> Column:
     return F.when(audio_seconds > 0, seconds / audio_seconds).otherwise(0.0)
+
+
+def interpolated(low: Column, high: Column, part: Column) -> Column:
+    """``part`` of the way between two doubles, as DuckDB's quantile_cont: a fused multiply-add, where F.percentile rounds both products."""
+    fused = F.reflect(F.lit("java.lang.Math"), F.lit("fma"), low, 1 - part, high * part).cast("double")
+    return F.when(part == 0, low).when((low + high + part).isNotNull(), fused)
