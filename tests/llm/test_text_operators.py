@@ -128,6 +128,35 @@ def test_word_ids_equal_the_library(tokenizer):
     assert [x.tolist() for x in w.each(pa.array([*texts, None]), 1)] == want
 
 
+def test_word_ids_ask_once_for_words_with_other_marks(monkeypatch):
+    asked = []
+    w = wordids.WordIds(wordids.vocabulary(), remembered=10)
+    tokenize = w.tokenize
+    w.tokenize = lambda x: asked.append(x) or tokenize(x)
+    words = [f"{a}{b}" for a in ("ab", "qué", "xyz") for b in "acdefghijkmnop"]
+    texts = [" ".join(x + marks for x in words) for marks in (".", "!?", "...", "&&&")]
+    list(w.each(pa.array(texts), 1))
+    assert len(asked) <= len(words) + 5  # the marks, and nothing
+    # Words that recur are not asked for again when others are forgotten.
+    monkeypatch.setattr(wordids, "KNOWN", 200)
+    for k in range(20):
+        list(w.each(pa.array([texts[0] + " " + " ".join("b" * k + x + y for x in "rstuv" for y in "lmnrstvwxz")]), 1))
+    assert Counter(asked).most_common(1)[0][1] == 1
+
+
+def test_word_ids_part_marks_as_the_library_does(tokenizer, monkeypatch):
+    monkeypatch.setattr(wordids, "TOKENIZED", 64)
+    rng = np.random.default_rng(4)
+    stems = ["abc", "Zoë", "É", "9", "1٣", "x's", "€", "é", "\u0301", "×", "÷", "한", "😀", "ª", "\xa0", "", "<", "a" * 90]
+    marks = ["", ".", "'", "'s", "!?", "_", "<|", "|>", "=\u0338", "'!"]
+    texts = [" ".join("".join(rng.choice(stems, rng.integers(0, 3))) + rng.choice(marks) for _ in range(rng.integers(0, 9))) for _ in range(1500)]
+    want = [ids_of(tokenizer, t).tolist() for t in texts]
+    for known in (0, 50, 10_000):
+        monkeypatch.setattr(wordids, "KNOWN", known)
+        w = wordids.WordIds(wordids.vocabulary())
+        assert [x.tolist() for k in (1, 300, 1 << 20) for x in w.each(pa.array(texts), 1, k)] == 3 * want
+
+
 def ids_of(tokenizer, text):
     return np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
 
