@@ -8,6 +8,11 @@ encoded again. Nor do they reach from a letter or digit to punctuation at the
 chunk's end, so what is remembered of a chunk are these two pieces. Plain letters
 and plain punctuation go straight to the library's BPE model; anything else goes
 through the library's whole pipeline.
+
+Texts are lower-cased before they are split, but the normaliser composes first:
+where an ASCII capital is followed by combining marks (U+0300 to U+036F), its
+lower case may compose otherwise, so such chunks keep their case till then. So do
+chunks that may hold a special token, whose case counts.
 """
 
 from __future__ import annotations
@@ -34,6 +39,9 @@ TOKENIZED = 1 << 17
 _PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])*+)([!-/:-@\[-`{-~]*)").fullmatch
 #: The same, but letters or punctuation alone.
 _PURE = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])*+|[!-/:-@\[-`{-~]*+").fullmatch
+#: Chunks that are not lower-cased before the library sees them; in RE2's syntax for Arrow below.
+_CASED = re.compile(rb"<\||[A-Z][\x80-\xff]*(?:\xcc[\x80-\xbf]|\xcd[\x80-\xaf])").search
+_CASED_RE2 = r"<\||[A-Z][^\x00-\x7F]*[\x{300}-\x{36F}]"
 #: What may follow a chunk's last letter or digit.
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Last bytes of pieces that marks may follow: of ASCII letters and digits, and of Latin-1's letters after 0xC3.
@@ -98,9 +106,8 @@ class WordIds(dict):
 
     def ids(self, text: bytes) -> np.ndarray:
         """The ids of a whole text, without an end id."""
-        if b"<|" not in text:  # else it may hold a special token, whose case counts
-            text = text.lower()
-        return np.frombuffer(b"".join(map(self.__getitem__, text.split())), "<u2").astype("<u4")
+        words = [x if _CASED(x) else x.lower() for x in text.split()] if _CASED(text) else text.lower().split()
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u2").astype("<u4")
 
     def each(self, texts, end_id: int, chunk: int = CHUNK) -> Iterator[np.ndarray]:
         """The ids of each text of an Arrow string column, with an end id; null counts as empty.
@@ -181,7 +188,7 @@ class WordIds(dict):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        special = pc.match_substring(texts, "<|")
+        special = pc.match_substring_regex(texts, _CASED_RE2)
         words = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(special, "", texts)))
         ends = words.offsets.to_numpy()[1:] - words.offsets[0].as_py()
         coded = words.flatten().dictionary_encode()

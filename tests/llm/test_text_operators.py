@@ -157,6 +157,16 @@ def test_word_ids_part_marks_as_the_library_does(tokenizer, monkeypatch):
         assert [x.tolist() for k in (1, 300, 1 << 20) for x in w.each(pa.array(texts), 1, k)] == 3 * want
 
 
+def test_word_ids_compose_before_lower_case(tokenizer):
+    # No capital composes with these marks, but its lower case does; the other way round for I and a dot.
+    odd = ["H\u0331", "T\u0308", "W\u030a", "Y\u030a", "J\u030c", "T\u0344", "H\u05b0\u0331", "I\u0316\u0307", "E\u0301"]
+    texts = [f"The {x}e, A{x}! <|x {x}" for x in odd] + [f"THE {x}E" for x in odd] + ["a " + " ".join(odd)]
+    w = wordids.WordIds(wordids.vocabulary())
+    want = [ids_of(tokenizer, t).tolist() for t in texts]
+    assert [x.tolist() for x in w.each(pa.array(texts), 1)] == want
+    assert [[*w.ids(t.encode()).tolist(), 1] for t in texts] == want
+
+
 def ids_of(tokenizer, text):
     return np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
 
